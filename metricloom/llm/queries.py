@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets
+from . import exact_dedup, mixing, near_dedup, secrets, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op8_curriculum_mix": mixing.op8_curriculum_mix,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 SQL: dict[str, str] = {
+    "op1_near_dedup": near_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_secret_scan": secrets.SQL,
     "op8_curriculum_mix": mixing.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }
