@@ -6,7 +6,7 @@ shared folder and reads it again as the next stage's docs.  All but the last ret
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metricloom.llm import decontaminate, language_id, mixing, near_dedup, sharding
@@ -21,10 +21,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; of rows with the same id and text, one."""
-    kept = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays; of rows with the same id, one; null ids all stay."""
+    kept = near_dedup.near_dedup(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(same_id)).where("_nth = 1").drop("_nth")
+    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +35,20 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the curriculum takes; rows of documents not taken go."""
-    mix = mixing.curriculum_mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    taken = docs.join(mix, docs["doc_id"].eqNullSafe(mix["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """As many copies of each document as the curriculum takes; documents not taken go.
+
+    Rows that share id and source share the largest number of copies.
+    """
+    mix = mixing.curriculum_mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    same = docs["doc_id"].eqNullSafe(mix["doc_id"]) & docs["source"].eqNullSafe(mix["source"])
+    taken = docs.join(mix, same).select(*[docs[c] for c in docs.columns], "_copies")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds size, shard and slot to a row for each document taken."""
-    placed = sharding.minimax_shards(docs)
-    return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
+    """The documents with their shard and slot."""
+    placed = sharding.minimax_shards(docs, carry=True)
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 STAGES = [

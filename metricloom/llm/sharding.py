@@ -128,8 +128,8 @@ def cuts(starts: Starts, shards: int) -> list[int]:
         starts.refine(unsure)
 
 
-def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, shard, slot.
+def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, shard, slot; with ``carry`` also ``row``, all its columns.
 
     Size is the UTF-8 length of the text plus ``overhead``.  Equal texts (null counts as empty) share a
     shard; slots count up from 0 in each shard.  Rows that repeat an id are documents of their own, null
@@ -138,14 +138,14 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
     spark = docs.sparkSession
     scratch, salts = Scratch(spark, "sharding"), partitions(spark)
     raw = text_or_empty(docs[text_col]).cast("binary")
-    base = scratch.write(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            (F.octet_length(raw) + overhead).cast("long").alias("size"),
-            F.crc32(raw).alias("text_crc32"),
-            F.unhex(F.sha2(raw, 256)).alias("key"),
-        ).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    )
+    keyed = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        (F.octet_length(raw) + overhead).cast("long").alias("size"),
+        F.crc32(raw).alias("text_crc32"),
+        F.unhex(F.sha2(raw, 256)).alias("key"),
+        *([F.struct(*docs.columns).alias("row")] if carry else []),
+    ).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    base = scratch.write(keyed.drop("row"))
     # An atom is the part of a group with one salt: a hot group is many atoms, which stay together on the line.
     atoms = scratch.write(
         base.groupBy("key", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).withColumn("slice", F.hex(F.substring("key", 1, 2)).substr(1, SLICE_DIGITS))
@@ -190,8 +190,10 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
         within = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         big = atoms.where(is_own).select("key", "salt", number.cast("int").alias("shard"), F.coalesce(F.sum("rows").over(within), F.lit(0)).alias("first_slot"))
         placed = placed.unionByName(big)
-    rows = base.withColumn("nth", F.row_number().over(Window.partitionBy("key", "salt").orderBy(F.col("doc_id").asc_nulls_last())))
-    return rows.join(placed, ["key", "salt"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("nth") - 1).cast("long").alias("slot"))
+    rows = (keyed if carry else base).withColumn("nth", F.row_number().over(Window.partitionBy("key", "salt").orderBy(F.col("doc_id").asc_nulls_last())))
+    return rows.join(placed, ["key", "salt"]).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("nth") - 1).cast("long").alias("slot"), *(["row"] if carry else [])
+    )
 
 
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
