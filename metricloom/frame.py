@@ -65,6 +65,6 @@ def points(spark: SparkSession, rows: Iterable[tuple], dims: dict[str, str], ent
     """A frame from rows (dims..., at, value); ``dims`` maps names to ``bigint`` or ``string``."""
     fields = [T.StructField(d, T.LongType() if k == "bigint" else T.StringType()) for d, k in dims.items()]
     schema = T.StructType([*fields, T.StructField(AT, T.TimestampNTZType()), T.StructField(VALUE, T.DoubleType())])
-    df = spark.createDataFrame([tuple(r) for r in rows], schema)
+    df = spark.createDataFrame([(*r[:-1], None if r[-1] is None else float(r[-1])) for r in rows], schema)
     frame = PointFrame(df, tuple(dims), entity, axis, unit)
     return frame.having(df.withColumn(VALUE, F.nanvl(VALUE, F.lit(None).cast("double"))).withColumn(AT, F.col(AT).cast(NTZ)))
