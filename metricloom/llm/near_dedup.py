@@ -8,9 +8,10 @@ million.
 
 Equal shingle sets are one class from the start.  In each band bucket every class is first compared with
 the bucket's smallest one; similar ones are linked and their components found.  Only buckets that still
-hold several components compare further: the classes outside the smallest one's component against all of
-the other components.  So a large group of near copies costs one comparison a member, and no pair of a
-bucket that could link two components is left out.
+hold several components go on: members outside the smallest one's component meet all others in blocks.
+A first pass over the sketches keeps those that may be linked to another component; a second compares
+their full sets with matrix products and returns no more links than join the components.  No pair of a
+bucket that could link two components is left out, and pairs never become rows.
 
 Pairs whose similarity, estimated from the registers and corrected for chance collisions, is five
 standard deviations too low are dropped; the others are decided on their full shingle sets.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, read_table, text_or_empty
+from .shared import Scratch, partitions, read_table, text_or_empty
 from .words import Windows, WordHashes, mixed
 
 SHINGLE, PERCENT = 5, 85
@@ -35,6 +36,8 @@ BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
 BANDS, BAND_REGISTERS = 36, 7
 DEVIATIONS = 5
+#: Members of a bucket that are compared at once, and shingles counted at once.
+BLOCK, COLUMNS = 512, 4096
 
 
 class Sketcher:
@@ -96,17 +99,22 @@ def _sets(shingle: int):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def band_keys(registers: np.ndarray) -> np.ndarray:
+    """One key for each row and band of registers."""
     factors = mixed(np.arange(1, BAND_REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
     salts = mixed(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
+    cut = registers[:, : BANDS * BAND_REGISTERS].reshape(-1, BANDS, BAND_REGISTERS).astype(np.uint64) + np.uint64(1)
+    return mixed((mixed(cut) * factors).sum(axis=2, dtype=np.uint64) + salts)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        cut = registers[:, : BANDS * BAND_REGISTERS].reshape(-1, BANDS, BAND_REGISTERS).astype(np.uint64) + np.uint64(1)
-        keys = mixed((mixed(cut) * factors).sum(axis=2, dtype=np.uint64) + salts)
-        node, n = (np.repeat(batch.column(i).to_numpy(), BANDS) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(n)], ["band", "node", "n"])
+        registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        keys = band_keys(registers)
+        node = np.repeat(batch.column(0).to_numpy(), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["band", "node"])
 
 
 def chance_collisions(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -149,6 +157,126 @@ def _confirmed(percent: int):
     return run
 
 
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """The matrix of intersection sizes: products of 0/1 columns, one for each shingle that occurs twice."""
+    n = len(sets)
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    often = np.bincount(at, minlength=len(token))[at] > 1
+    at, owner = np.unique(at[often], return_inverse=True)[1], owner[often]
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        lo, hi = np.searchsorted(at, [first, first + COLUMNS])
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[owner[lo:hi], at[lo:hi] - first] = 1
+        out += has @ has.T
+    return out
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with equal first columns; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        bounds = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0), [True]]))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            key = tuple(k[:, lo])
+            if held and key != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+def _hopeful(percent: int):
+    """Blocks of (band, x, y, node, component, n, sketch) -> (band, node) of those that may be linked to another component there.
+
+    A pair counts in the first band that it shares.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        j = percent / 100
+        for (band, _, _), rows in _grouped(batches, 3):
+            component, n = rows.column(4).to_numpy(), rows.column(5).to_numpy().astype(np.float64)
+            if (component == component[0]).all():
+                continue
+            node, hopeful = rows.column(3).to_numpy(), np.zeros(len(component), bool)
+            registers = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            least = j - DEVIATIONS * np.sqrt(j * (1 - j) / np.minimum(n, BUCKETS))
+            keys = band_keys(registers)
+            own = int(np.flatnonzero(keys[0].view(np.int64) == band)[0])
+            for at in range(0, len(node), 64):
+                part = slice(at, at + 64)
+                equal = (registers[part, None, :] == registers[None, :, :]).mean(axis=2)
+                near = (equal >= np.minimum(least[part, None], least[None, :])) & (component[part, None] != component[None, :])
+                near &= (n[part, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[part, None] * percent)
+                if own and near.any():
+                    near &= ~(keys[part, None, :own] == keys[None, :, :own]).any(axis=2)
+                hopeful[part] |= near.any(axis=1)
+                hopeful |= near.any(axis=0)
+            if hopeful.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(hopeful.sum()), band)), pa.array(node[hopeful])], ["band", "node"])
+
+    return run
+
+
+def _spanning(percent: int):
+    """Blocks of (band, x, y, node, component, shingles) -> links between components, no more than it takes to join them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches, 3):
+            nodes, component = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+            if (component == component[0]).all():
+                continue
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column(5).to_pylist()]
+            common, n = common_shingles(sets).astype(np.float64), np.array([len(s) for s in sets], np.float64)
+            near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+            root = {int(c): int(c) for c in component}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            found = []
+            for i, j in np.argwhere(np.triu(near & (component[:, None] != component[None, :]))):
+                a, b = top(int(component[i])), top(int(component[j]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(nodes[i]), int(nodes[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Deals (band, node, component, outside) to blocks (x, y) in which every pair that has a member outside the hub's component meets.
+
+    Outsiders make the x blocks, all members the y blocks; a bucket of up to BLOCK rows is one block.
+    """
+    sizes = members.groupBy("band").agg(
+        F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("xs"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ys")
+    ).where("xs > 0")
+    rows = members.join(sizes, "band")
+    x, y = F.pmod(F.xxhash64("node"), F.col("xs")).cast("int"), F.pmod(F.xxhash64("node", F.lit("y")), F.col("ys")).cast("int")
+    as_y = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda i: F.struct(i.alias("x"), y.alias("y")))
+    as_x = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda i: F.struct(x.alias("x"), i.alias("y")))
+    cells = F.when(F.col("outside"), F.array_union(as_y, as_x)).otherwise(as_y)
+    return rows.withColumn("cell", F.explode(cells)).select("band", "cell.x", "cell.y", "node", "component")
+
+
+def by_block(rows: DataFrame, many: int) -> DataFrame:
+    return rows.repartition(many, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -158,7 +286,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     with a null id are linked with nothing and kept.  Rows that repeat an id are one document in the graph:
     linked with whatever any of their texts is.
     """
-    scratch = Scratch(docs.sparkSession, "near-dedup")
+    spark = docs.sparkSession
+    scratch, many = Scratch(spark, "near-dedup"), partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs[text_col]).cast("binary").alias("text"))
     sketches = scratch.write(rows.mapInArrow(_sketches(shingle), "doc_id long, n long, mark binary, sketch binary"))
     classes = sketches.where("doc_id is not null and n > 0").groupBy("mark").agg(F.min("doc_id").alias("node"))
@@ -166,25 +295,27 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     nodes = scratch.write(sketches.join(classes, (sketches["mark"] == classes["mark"]) & (sketches["doc_id"] == classes["node"])).select("node", "n", "sketch"))
     scratch.drop(sketches)
 
-    banded = nodes.select("node", "n", "sketch").mapInArrow(_bands, "band long, node long, n long")
+    banded = nodes.select("node", "sketch").mapInArrow(_bands, "band long, node long")
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
     buckets = scratch.write(banded.join(shared, "band"))
     scratch.release_shuffles()
-    links = verified(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, rows, shingle, percent, scratch)
+    sets = scratch.write(shingle_sets(rows, buckets.select(F.col("node").alias("doc_id")).distinct(), shingle))
+    scratch.release_shuffles()
+    links = verified(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, sets, percent, scratch)
     first = scratch.write(components(links, scratch))
 
-    # Buckets that hold several components: those outside the hub's component against all others.
-    hubs = first.select(F.col("node").alias("hub"), F.col("component").alias("hub_found"))
-    placed = buckets.join(first, "node", "left").join(hubs, "hub", "left").select(
-        "band", "node", "n", "hub", F.coalesce("component", "node").alias("component"), F.coalesce("hub_found", "hub").alias("hub_component")
-    )
-    open_bands = placed.where("component <> hub_component").select("band").distinct()
-    placed = scratch.write(placed.join(open_bands, "band", "left_semi"))
-    x, y = placed.where("component <> hub_component").alias("x"), placed.where("node <> hub").alias("y")
-    near_in_size = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & near_in_size)
-    across = across.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    more = verified(across, nodes, rows, shingle, percent, scratch)
+    # Buckets that still hold several components compare their members in blocks.
+    hubs = first.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    placed = buckets.join(first, "node", "left").join(hubs, "hub", "left")
+    component = F.coalesce("component", "node")
+    placed = placed.select("band", "node", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("outside"))
+    sketched = in_blocks(placed).join(nodes, "node").select("band", "x", "y", "node", "component", "n", "sketch")
+    hopeful = scratch.write(by_block(sketched, many).mapInArrow(_hopeful(percent), "band long, node long").distinct())
+    scratch.release_shuffles()
+    full = in_blocks(placed.join(hopeful, ["band", "node"], "left_semi")).join(sets, "node").select("band", "x", "y", "node", "component", "shingles")
+    more = scratch.write(by_block(full, many).mapInArrow(_spanning(percent), "a long, b long").distinct())
+    scratch.drop(sets, hopeful)
+    scratch.release_shuffles()
     joined = components(links.unionByName(more), scratch)
 
     out = members.join(joined, "node", "left")
@@ -192,19 +323,20 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+def shingle_sets(rows: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the documents whose ids are needed; their number grows with the corpus, so they are never broadcast."""
+    return rows.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
     sketched = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b")
     likely = scratch.write(sketched.mapInArrow(_likely(percent), "a long, b long"))
-    scratch.release_shuffles()
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.write(rows.join(needed, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles binary"))
-    scratch.release_shuffles()
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
     full = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     links = scratch.write(full.mapInArrow(_confirmed(percent), "a long, b long").distinct())
-    scratch.drop(likely, sets)
+    scratch.drop(likely)
     scratch.release_shuffles()
     return links
 
