@@ -290,10 +290,11 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     scratch, many = Scratch(spark, "near-dedup"), partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs[text_col]).cast("binary").alias("text"))
     sketches = scratch.write(rows.mapInArrow(_sketches(shingle), "doc_id long, n long, mark binary, sketch binary"))
-    classes = sketches.where("doc_id is not null and n > 0").groupBy("mark").agg(F.min("doc_id").alias("node"))
+    # Written, so that joins with it are plain shuffles that Spark can split where a class is large.
+    classes = scratch.write(sketches.where("doc_id is not null and n > 0").groupBy("mark").agg(F.min("doc_id").alias("node")))
     members = scratch.write(sketches.select("doc_id", "n", "mark").join(classes, "mark", "left").select("doc_id", "n", "node"))
     nodes = scratch.write(sketches.join(classes, (sketches["mark"] == classes["mark"]) & (sketches["doc_id"] == classes["node"])).select("node", "n", "sketch"))
-    scratch.drop(sketches)
+    scratch.drop(sketches, classes)
 
     banded = nodes.select("node", "sketch").mapInArrow(_bands, "band long, node long")
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
@@ -319,7 +320,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     joined = components(links.unionByName(more), scratch)
 
     out = members.join(joined, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -119,13 +119,14 @@ class Pseudonyms:
                 continue
             if not 0 <= nth < DAYS:
                 return None
-            wide = all(len(p) > 1 for p in parts)
             swapped = len(orders) == 2 and (y, m, d) == orders[1]
-            nth = self.feistel.permute(nth, DAYS, "date", self.back)
-            while swapped and datetime.date.fromordinal(nth + FIRST_DAY).day <= 12:  # else it would read month first
+            short_month, short_day = len(parts[m]) == 1, len(parts[d]) == 1
+            while True:  # walks on until the date has the same widths and reads in the same order
                 nth = self.feistel.permute(nth, DAYS, "date", self.back)
-            new = datetime.date.fromordinal(nth + FIRST_DAY)
-            parts[y], parts[m], parts[d] = str(new.year), *(f"{x:02d}" if wide else str(x) for x in (new.month, new.day))
+                new = datetime.date.fromordinal(nth + FIRST_DAY)
+                if not (short_month and new.month > 9 or short_day and new.day > 9 or swapped and new.day <= 12):
+                    break
+            parts[y], parts[m], parts[d] = str(new.year), f"{new.month:0{len(parts[m])}d}", f"{new.day:0{len(parts[d])}d}"
             return ("-" if "-" in shown else "/" if "/" in shown else ".").join(parts)
         return None
 
