@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,17 +49,18 @@ def stacked_extent(marks) -> tuple[Column, Column]:
     return up, down
 
 
-def project(frame: PointFrame, view, calendar: Calendar, name: str) -> dict:
-    """Collects a frame (the only collect of a report) and makes its chart."""
+def project(frame: PointFrame, view, calendar: Calendar, name: str, labels: Callable[[str, str], str] | None = None) -> dict:
+    """Collects a frame (the only collect of a report) and makes its chart; ``labels`` names a dimension's values."""
+    named = labels or (lambda dim, value: value)
     timed = view.x == "time"
     order = ["at_millis", *[f"_{k}" for k in frame.keys]]
     rows = [r.asDict() for r in marks_frame(frame, view, calendar).orderBy(*order).collect()]
     found: dict[str, list[dict]] = {}
     for r in rows:
-        mark = {"label": r["label"], "at": r["at_millis"], "value": r[VALUE], "status": r["status"], "color": STATUS_COLORS[r["status"]]}
+        mark = {"label": r["label"] if timed else named(view.x, r["label"]), "at": r["at_millis"], "value": r[VALUE], "status": r["status"], "color": STATUS_COLORS[r["status"]]}
         mark |= {"estimated": r.get(ESTIMATED) or None, "low": r.get(LOW), "high": r.get(HIGH)}
         found.setdefault(r["series"], []).append(mark)
-    series = [{"name": s or name, "key": s, "color": PALETTE[i % len(PALETTE)], "axis": "primary", "marks": m} for i, (s, m) in enumerate(found.items())]
+    series = [{"name": named(view.series_by, s) if s else name, "key": s, "color": PALETTE[i % len(PALETTE)], "axis": "primary", "marks": m} for i, (s, m) in enumerate(found.items())]
     axes = [{"kind": "temporal" if timed else "category", "title": None if timed else view.x}, value_axis(series, view.stacked, view.unit)]
     return {"kind": view.kind, "title": view.title, "series": series, "axes": axes, "legend": {"visible": len(series) > 1}, "annotations": annotations(view), "stacked": view.stacked or None}
 
@@ -95,7 +97,7 @@ def compose(parts: list[tuple], title: str | None) -> dict:
         base = series.name or name
         several = len(view["series"]) > 1 or (view["series"] and view["series"][0]["key"])
         for s in view["series"]:
-            shown = f"{base} · {s['key']}" if several else base
+            shown = f"{base} · {s['name']}" if several else base
             color = series.color or PALETTE[len(out) % len(PALETTE)]
             out.append(s | {"name": shown, "color": color, "axis": "secondary" if series.secondary else "primary", "kind": view["kind"]})
     for which in ("primary", "secondary"):

@@ -11,6 +11,7 @@ from collections import Counter, OrderedDict
 from collections.abc import Sequence
 
 from ..frame import PointFrame
+from .stores import MemoryStore, Store
 
 #: FNV-1a, 64 bits: offset and prime.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
@@ -46,20 +47,12 @@ class SliceCache:
     def __init__(self, most: int = 64):
         self.most, self.versions, self.lock = most, Versions(), threading.RLock()
         self.slices: OrderedDict[tuple, list[tuple[dict, PointFrame]]] = OrderedDict()
-        self.expected: Counter = Counter()
         self.loads = 0
 
     @staticmethod
     def scope(tenant: str, metrics, report, dims) -> tuple:
         return tenant, tuple(metrics), report.timeframe, None if dims is None else tuple(sorted(dims))
 
-    def announce(self, reports) -> None:
-        self.expected = Counter((r.tenant, m, r.timeframe, tuple(sorted(r.dimensions))) for r, m in reports)
-        self._wants = {id(r): (r.tenant, m, r.timeframe, tuple(sorted(r.dimensions))) for r, m in reports}
-
-    def shared(self, report) -> bool:
-        return self.expected[self._wants[id(report)]] > 1
-
     def points(self, tenant: str, metrics, report, source, dims) -> PointFrame:
         from pyspark.sql import functions as F
 
@@ -102,39 +95,30 @@ class SliceCache:
 
 
 class ChartCache:
-    """Finished charts, least recently used first out, bounded by their marks."""
+    """Finished charts in a store (by default in memory, bounded by their marks), tagged by what they show."""
 
-    def __init__(self, most_marks: int = 1_000_000):
-        self.most, self.marks, self.lock = most_marks, 0, threading.RLock()
-        self.charts: OrderedDict[tuple, tuple[dict, tuple, int]] = OrderedDict()
-        self.versions = Versions()
+    def __init__(self, most_marks: int = 1_000_000, store: Store | None = None):
+        self.store = store or MemoryStore(most_marks)
 
     def key(self, report, calendar) -> tuple | None:
+        """None if a transform has no stable identity."""
         identities = [t.identity for t in report.transforms]
         if None in identities:
             return None
         return (report.tenant, report.metric, report.entities, report.timeframe, tuple(identities), report.view, report.dimensions, report.minimum_denominator, report.comparison, calendar)
 
     def get(self, key: tuple) -> dict | None:
-        with self.lock:
-            if key not in self.charts:
-                return None
-            self.charts.move_to_end(key)
-            return self.charts[key][0]
+        return self.store.get(key)
 
     def put(self, key: tuple, chart: dict, touched: tuple) -> None:
-        size = 1 + sum(len(s["marks"]) for s in chart["series"])
-        with self.lock:
-            if size > self.most:
-                return
-            self.marks += size - (self.charts.pop(key)[2] if key in self.charts else 0)
-            self.charts[key] = (chart, touched, size)
-            while self.marks > self.most:
-                self.marks -= self.charts.popitem(last=False)[1][2]
+        tenant, metrics, entities = touched
+        shown = (None,) if entities is None else (*entities, None)
+        tags = {(tenant, m, e) for m in (*metrics, None) for e in shown}
+        if entities is None:
+            tags |= {(tenant, m, "all") for m in (*metrics, None)}
+        self.store.put(key, chart, 1 + sum(len(s["marks"]) for s in chart["series"]), tags)
 
     def invalidate(self, tenant: str, metric: str | None = None, entity: int | None = None) -> None:
-        with self.lock:
-            for key, (_, (t, metrics, entities), size) in list(self.charts.items()):
-                if t == tenant and (metric is None or metric in metrics) and (entity is None or entities is None or entity in entities):
-                    del self.charts[key]
-                    self.marks -= size
+        self.store.remove_tagged((tenant, metric, entity))
+        if entity is not None:
+            self.store.remove_tagged((tenant, metric, "all"))

@@ -7,7 +7,7 @@ shuffle serve them all.  Nothing is collected but finished charts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
@@ -34,13 +34,34 @@ class Plan:
     after: tuple[Transform, ...]
 
 
+@dataclass(frozen=True)
+class Load:
+    """One read of a source.  Reads with equal keys differ in their metrics only, so one scan can serve them."""
+
+    metrics: tuple[str, ...]
+    source: Source
+    report: Report
+    dims: tuple[str, ...] | None
+    levels: bool
+    head: Resample | None
+
+    @property
+    def key(self) -> tuple:
+        r = self.report
+        return id(self.source), r.tenant, r.entities, r.timeframe, self.dims, repr(self.head)
+
+
 class Engine:
-    """``sources`` is one source, or one for each stored metric."""
+    """``sources`` is one source, or one for each stored metric; ``labels`` names the values of dimensions in charts."""
 
-    def __init__(self, catalog: Catalog, sources: Source | dict[str, Source], calendar: Calendar = Calendar(), slices: SliceCache | None = None, charts: ChartCache | None = None):
+    def __init__(
+        self, catalog: Catalog, sources: Source | dict[str, Source], calendar: Calendar = Calendar(),
+        slices: SliceCache | None = None, charts: ChartCache | None = None, labels: Callable[[str, str], str] | None = None,
+    ):
         self.catalog, self.calendar = catalog, calendar
         self.sources = sources
-        self.slices, self.charts = slices, charts
+        self.slices, self.charts, self.labels = slices, charts, labels
+        self._shared: dict[tuple, PointFrame] = {}
 
     # Analysis
 
@@ -124,20 +145,44 @@ class Engine:
             out = out.having(out.df.select(*out.columns).unionByName(p.df.select(*out.columns)))
         return out
 
-    def _load(self, metrics: tuple[str, ...], plan: Plan, context: Context) -> PointFrame:
+    def _scope(self, metrics: tuple[str, ...], plan: Plan) -> Load:
         report, source = plan.report, self.source(metrics[0])
         definitions = [self.catalog[m] for m in metrics]
         self._check_kind(definitions, source)
-        levels = [m for m in definitions if m.additivity == SEMI_ADDITIVE and set(m.dimensions) - set(report.dimensions)]
-        dims = None if levels else report.dimensions
-        before = plan.before
-        if before and type(before[0]) is Resample and not levels and self.slices is None:
-            frame = source.rolled(metrics, report.entities, report.timeframe, dims, before[0], context)
-            return run(frame, before[1:], context)
-        frame = self._points(metrics, report, source, dims)
-        if levels:
-            frame = self._folded(frame, report.dimensions)
-        return run(frame, before, context)
+        levels = any(m.additivity == SEMI_ADDITIVE and set(m.dimensions) - set(report.dimensions) for m in definitions)
+        rolls = bool(plan.before) and type(plan.before[0]) is Resample and not levels and self.slices is None
+        return Load(metrics, source, report, None if levels else report.dimensions, levels, plan.before[0] if rolls else None)
+
+    def _load(self, metrics: tuple[str, ...], plan: Plan, context: Context) -> PointFrame:
+        load = self._scope(metrics, plan)
+        if (held := self._shared.get(load.key)) is not None:
+            frame = held.having(held.df.where(F.col(METRIC).isin(list(metrics))))
+        else:
+            frame = self._read(load, metrics, context)
+        if load.levels:
+            frame = self._folded(frame, load.report.dimensions)
+        return run(frame, plan.before[1:] if load.head else plan.before, context)
+
+    def _read(self, load: Load, metrics: tuple[str, ...], context: Context) -> PointFrame:
+        report = load.report
+        if load.head is not None:
+            return load.source.rolled(metrics, report.entities, report.timeframe, load.dims, load.head, context)
+        return self._points(metrics, report, load.source, load.dims)
+
+    def _loads(self, report: Report) -> list[Load]:
+        """What a report reads: for each of its timeframes, the metrics of each source."""
+        frames = [report.timeframe]
+        if report.comparison is not None and report.timeframe is not None:
+            earlier = report.comparison.baseline.resolve(report.timeframe, self.calendar).back(report.timeframe, self.calendar)
+            frames = [earlier] if report.comparison.output == BASELINE else [report.timeframe, earlier]
+        out = []
+        for frame in frames:
+            plan = self.plan(replace(report, comparison=None, timeframe=frame))
+            groups: dict[int, list[str]] = {}
+            for m in plan.metrics:
+                groups.setdefault(id(self.source(m)), []).append(m)
+            out += [self._scope(tuple(ms), plan) for ms in groups.values()]
+        return out
 
     def _points(self, metrics: tuple[str, ...], report: Report, source: Source, dims) -> PointFrame:
         if self.slices is None:
@@ -171,7 +216,7 @@ class Engine:
         if key is not None and (found := self.charts.get(key)) is not None:
             return found
         view = replace(report.view, unit=self.unit(report))
-        chart = project(self.frame(report), view, self.calendar, self.catalog[report.metric].title)
+        chart = project(self.frame(report), view, self.calendar, self.catalog[report.metric].title, self.labels)
         if key is not None:
             self.charts.put(key, chart, (report.tenant, self._inputs_of(report), report.entities))
         return chart
@@ -181,16 +226,22 @@ class Engine:
         return (metric.id, *(metric.formula.inputs if metric.formula else ()))
 
     def run_many(self, reports: Sequence[Report]) -> list[dict]:
-        """As ``run`` one by one.  Raw points of stored metrics with equal scope are scanned once."""
-        if self.slices is not None or len(reports) < 2:
-            return [self.run(r) for r in reports]
-        batch = SliceCache()
-        sharing = Engine(self.catalog, self.sources, self.calendar, batch, self.charts)
-        batch.announce([(r, self.plan(replace(r, comparison=None)).metrics) for r in reports])
+        """As ``run`` one by one; reads that differ in their metrics only are one scan, bucketed once if all bucket alike."""
+        wanted: dict[tuple, list[Load]] = {}
+        for r in reports if len(reports) > 1 and self.slices is None else ():
+            for load in self._loads(r):
+                wanted.setdefault(load.key, []).append(load)
+        sharing = Engine(self.catalog, self.sources, self.calendar, self.slices, self.charts, self.labels)
         try:
-            return [sharing.run(r) if batch.shared(r) else self.run(r) for r in reports]
+            for key, loads in wanted.items():
+                if len(loads) > 1:
+                    metrics = tuple(dict.fromkeys(m for x in loads for m in x.metrics))
+                    made = sharing._read(loads[0], metrics, Context(self.calendar, loads[0].report.timeframe))
+                    sharing._shared[key] = made.having(made.df.persist())
+            return [sharing.run(r) for r in reports]
         finally:
-            batch.clear()
+            for frame in sharing._shared.values():
+                frame.df.unpersist()
 
     def run_chart(self, chart: Chart) -> dict:
         return self.run_charts([chart])[0]

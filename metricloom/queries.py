@@ -24,6 +24,7 @@ from .operators.windows import Bottom, Cumulative, Rolling, ShareOf, Top
 from .plans.catalog import SEMI_ADDITIVE, Catalog, Linear, Metric, Ratio, difference_of, sum_of
 from .plans.dashboard import parse
 from .plans.engine import Engine
+from .plans.recipes import acute_to_chronic
 from .plans.spec import BASELINE, DIFFERENCE, PERCENT, Comparison, DashboardContext, Report, TargetBand, View
 from .sources.points import LOCAL_TIME, METRIC, UTC, LongSource, WideSource, in_zone
 from .timeaxis import LOCAL, Calendar, Context, Timeframe, transitions
@@ -264,9 +265,7 @@ SELECT supplier, bucket, (i - (SELECT count(*) FROM d e WHERE e.supplier = d.sup
 
 @query("acwr", f"WITH {_DAILY} SELECT account, bucket, round(avg(v) OVER {_last_days(7)} / avg(v) OVER {_last_days(28)}, 7) AS value FROM d")
 def acwr(spark, sf):
-    daily = Engine(EVENTS, crowd(spark, sf)).frame(Report("any", transforms=(_DAYS,)))
-    acute, chronic = (run(daily, [Rolling(dt.timedelta(days=n), MEAN)]) for n in (7, 28))
-    return table(combine(acute, chronic, lambda a, b: F.try_divide(a, b)))
+    return table(acute_to_chronic(Engine(EVENTS, crowd(spark, sf)).frame(Report("any", transforms=(_DAYS,)))))
 
 
 _BY_PRIORITY = "m AS (SELECT o_orderpriority AS priority, date_trunc('month', o_orderdate)::TIMESTAMP AS bucket, count(*)::DOUBLE AS v FROM orders GROUP BY 1, 2)"

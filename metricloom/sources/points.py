@@ -193,3 +193,18 @@ class MemorySource(Source):
         named = self.known if dims is None else tuple(dims)
         out = PointFrame(df, (self.entity, *named), self.entity, self.axis, hidden=(METRIC,))
         return out.having(df)
+
+
+class FunctionSource(Source):
+    """Any function (metrics, entities, timeframe) -> DataFrame of metric, entity, dimensions, at and value: a web service, a feed."""
+
+    def __init__(self, spark: SparkSession, function, dims: Sequence[str] = (), kind: str = INSTANT, entity: str = "entity"):
+        pin_session(spark)
+        self.function, self.known, self.entity, self.axis = function, tuple(dims), entity, TimeAxis(kind)
+
+    def points(self, metrics, entities=None, timeframe=None, dims=None):
+        named = self.known if dims is None else tuple(dims)
+        df = self.function(tuple(metrics), entities, timeframe).where(F.col("metric").isin(list(metrics)))
+        categories = [F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in named]
+        out = df.select(F.col("metric").alias(METRIC), F.col(self.entity).cast("bigint").alias(self.entity), *categories, F.col(AT).cast(NTZ).alias(AT), _value(F.col(VALUE)).alias(VALUE))
+        return PointFrame(out, (self.entity, *named), self.entity, self.axis, hidden=(METRIC,))

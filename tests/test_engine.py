@@ -90,7 +90,7 @@ def test_rolling_of_a_ratio_is_rolling_sum_over_rolling_sum(matches):
     out = Engine(CATALOG, matches).frame(Report("per-90", entities=(3,), transforms=(Resample(WEEK, SUM), Rolling(dt.timedelta(days=28), MEAN))))
     assert [r[VALUE] for r in out.df.orderBy(AT).collect()] == pytest.approx([0, 0, 0, 90 / 40, 0, 0, 0, 0, 0, 0])
     filled = Engine(CATALOG, matches).frame(Report("per-90", Timeframe(d("2025-01-01"), d("2025-03-15")), (3,), (Resample(WEEK, SUM, ZERO, TIMEFRAME), Rolling(dt.timedelta(days=28), MEAN))))
-    assert [r[VALUE] for r in filled.df.orderBy(AT).collect()] == pytest.approx([0, 0, 0, *[90 / 40] * 4, 0, 0, 0])
+    assert [r[VALUE] for r in filled.df.orderBy(AT).collect()] == pytest.approx([0, 0, 0, *[90 / 40] * 4, 0, 0, 0, 0])
 
 
 def test_plan_errors(matches):
@@ -315,3 +315,70 @@ def test_wide_source_falls_back_for_custom_aggregates(spark):
     engine = Engine(Catalog([Metric("v")]), WideSource(spark, df, "e", "ts", metrics={"v": "v"}))
     spread = CustomAggregator("spread", function=lambda v: v.max() - v.min())
     assert [r[VALUE] for r in engine.frame(Report("v", transforms=(Resample(DAY, spread, ZERO),))).df.orderBy(AT).collect()] == [3, 0, 0]
+
+
+def test_a_batch_of_metrics_is_one_scan(spark, sf):
+    class Counted(WideSource):
+        reads = 0
+
+        def rolled(self, *args):
+            Counted.reads += 1
+            return super().rolled(*args)
+
+    plain = q.lines(spark, sf)
+    engine = Engine(q.LINES, Counted(spark, plain.df, "l_suppkey", "l_shipdate", plain.dimensions, entity="supplier", metrics=plain.metrics))
+    monthly = (Resample(MONTH, SUM), GroupBy(SUM))
+    reports = [Report(m, transforms=monthly) for m in ("quantity", "price", "tax", "unit-price")]
+    together = engine.run_many(reports)
+    assert Counted.reads == 1
+    alone = [engine.run(r) for r in reports]
+    assert Counted.reads == 5
+    shown = lambda charts: [[(m["label"], pytest.approx(m["value"])) for m in c["series"][0]["marks"]] for c in charts]
+    assert shown(together) == [[(m["label"], m["value"]) for m in c["series"][0]["marks"]] for c in alone]
+
+
+def test_stores():
+    from metricloom.plans.stores import ExpiringStore, LayeredStore, MemoryStore
+
+    now = [0.0]
+    near, far = MemoryStore(3), MemoryStore(100)
+    store = LayeredStore(near, ExpiringStore(far, 10, lambda: now[0]))
+    for i in range(5):
+        store.put(i, f"v{i}", 1, {"odd" if i % 2 else "even"})
+    assert near.get(0) is None and store.get(0) == "v0" and near.get(0) == "v0"
+    store.remove_tagged("even")
+    assert store.get(0) is None and store.get(3) == "v3"
+    now[0] = 11.0
+    near.remove(3)
+    assert store.get(3) is None and near.get(99) is None
+    near.put("big", 1, 4)
+    assert near.get("big") is None and near.weight == len(near.entries)
+
+
+def test_demo_data_recipes_and_labels(spark):
+    from metricloom.plans import recipes
+    from metricloom.sources import demo
+
+    engine = Engine(demo.CATALOG, demo.source(spark, days=120, players=4), labels=lambda dim, value: f"{dim} #{value}")
+    chart = engine.run(Report("goals-per-90", transforms=(Total(SUM, ("player",)),), view=View("column", x="player")))
+    assert [m["label"] for m in chart["series"][0]["marks"]][0].startswith("player #")
+    ratio = recipes.acute_to_chronic(engine.frame(Report("training-load", transforms=(Resample(DAY, SUM, ZERO),))))
+    assert ratio.df.where("value < 0 or value > 4").count() == 0 and ratio.df.count() > 400
+    year = Timeframe(d("2025-01-01"), d("2026-01-01"))
+    pace = engine.frame(recipes.on_pace(Report("minutes", year)))
+    assert pace.ranged and pace.df.where("estimated").count() > 0
+    assert set(recipes.gap_policies(Report("goals", year), WEEK, SUM)) == {"leave-missing", "zero-fill", "carry-forward", "interpolate"}
+    assert engine.frame(recipes.running_total(Report("minutes", year))).df.count() == 4
+    assert engine.frame(recipes.year_on_year(Report("goals", year))).df.count() == 0
+    load = engine.frame(Report("training-load", transforms=(Resample(DAY, SUM),)))
+    assert recipes.moving_target(load, load).df.where("value = 100").count() == load.df.where("value > 0").count()
+
+
+def test_function_sources(spark):
+    from metricloom.sources.points import FunctionSource
+
+    def fetch(metrics, entities, timeframe):
+        return spark.createDataFrame([(m, e, None, d("2025-01-01"), 2.0) for m in metrics for e in entities], "metric string, entity int, place string, at timestamp_ntz, value double")
+
+    engine = Engine(Catalog([Metric("heat", dimensions=("place",))]), FunctionSource(spark, fetch, ("place",)))
+    assert found(engine.frame(Report("heat", entities=(1, 2), transforms=(Total(SUM, ("place",)),), dimensions=("place",)))) == [("", 4.0)]
