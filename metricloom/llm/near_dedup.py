@@ -257,7 +257,7 @@ def _spanning(percent: int):
     return run
 
 
-def in_blocks(members: DataFrame) -> DataFrame:
+def in_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
     """Deals (band, node, component, outside) to blocks (x, y) in which every pair that has a member outside the hub's component meets.
 
     Outsiders make the x blocks, all members the y blocks; a bucket of up to BLOCK rows is one block.
@@ -265,7 +265,7 @@ def in_blocks(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("band").agg(
         F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("xs"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ys")
     ).where("xs > 0")
-    rows = members.join(sizes, "band")
+    rows = members.join(scratch.write(sizes), "band")
     x, y = F.pmod(F.xxhash64("node"), F.col("xs")).cast("int"), F.pmod(F.xxhash64("node", F.lit("y")), F.col("ys")).cast("int")
     as_y = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda i: F.struct(i.alias("x"), y.alias("y")))
     as_x = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda i: F.struct(x.alias("x"), i.alias("y")))
@@ -297,7 +297,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     scratch.drop(sketches, classes)
 
     banded = nodes.select("node", "sketch").mapInArrow(_bands, "band long, node long")
-    shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
+    shared = scratch.write(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub"))
     buckets = scratch.write(banded.join(shared, "band"))
     scratch.release_shuffles()
     sets = scratch.write(shingle_sets(rows, buckets.select(F.col("node").alias("doc_id")).distinct(), shingle))
@@ -309,11 +309,11 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     hubs = first.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     placed = buckets.join(first, "node", "left").join(hubs, "hub", "left")
     component = F.coalesce("component", "node")
-    placed = placed.select("band", "node", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("outside"))
-    sketched = in_blocks(placed).join(nodes, "node").select("band", "x", "y", "node", "component", "n", "sketch")
+    placed = scratch.write(placed.select("band", "node", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("outside")))
+    sketched = in_blocks(placed, scratch).join(nodes, "node").select("band", "x", "y", "node", "component", "n", "sketch")
     hopeful = scratch.write(by_block(sketched, many).mapInArrow(_hopeful(percent), "band long, node long").distinct())
     scratch.release_shuffles()
-    full = in_blocks(placed.join(hopeful, ["band", "node"], "left_semi")).join(sets, "node").select("band", "x", "y", "node", "component", "shingles")
+    full = in_blocks(scratch.write(placed.join(hopeful, ["band", "node"], "left_semi")), scratch).join(sets, "node").select("band", "x", "y", "node", "component", "shingles")
     more = scratch.write(by_block(full, many).mapInArrow(_spanning(percent), "a long, b long").distinct())
     scratch.drop(sets, hopeful)
     scratch.release_shuffles()
