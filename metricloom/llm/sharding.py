@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, partitions, read_table, text_or_empty
 
 SHARDS, OVERHEAD = 40, 16
-CELLS = 100_000
+CELLS, WINDOWS = 100_000, 200
 #: Slices of the content-hash order whose sums the driver holds: 16**3.
 SLICE_DIGITS = 3
 
@@ -78,6 +80,14 @@ class Starts:
         self.exact = [points[p] for p in self.known]
 
 
+def fewer(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """At most WINDOWS windows that cover the given ones: the nearest are joined."""
+    if len(windows) <= WINDOWS:
+        return windows
+    widest = sorted(sorted(range(1, len(windows)), key=lambda i: windows[i - 1][1] - windows[i][0])[: WINDOWS - 1])
+    return [(windows[a][0], windows[b - 1][1]) for a, b in zip([0, *widest], [*widest, len(windows)])]
+
+
 def greedy(starts: Starts, capacity: int, shards: int, sure: bool) -> list[int]:
     """Ends of shards filled one after the other, as far as is sure or at best."""
     at, ends = 0, []
@@ -172,8 +182,8 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
     )
 
     def look(windows: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-        table = spark.createDataFrame(windows, "lo long, hi long")  # at most one for each cut and side
-        inside = line.where("opens").join(F.broadcast(table), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+        within = reduce(or_, [(F.col("at") >= lo) & (F.col("at") < hi) for lo, hi in fewer(windows)])
+        inside = line.where("opens").where(within)
         return [tuple(r) for r in inside.groupBy(F.floor(F.col("at") / width).alias("cell")).agg(F.min("at"), F.max("at"), F.count(F.lit(1))).select("min(at)", "max(at)", "count(1)").collect()]
 
     ends = cuts(Starts(left, look), shards - len(own))

@@ -340,3 +340,9 @@ def test_long_texts_pool_in_parts(monkeypatch):
 @pytest.mark.parametrize("case", (None, ""))
 def test_features_of_no_words(case):
     assert not quality.features(case, quality.Tokens(), quality.index_vectors()).any()
+
+
+def test_windows_are_joined_to_a_bounded_number(monkeypatch):
+    monkeypatch.setattr(sharding, "WINDOWS", 3)
+    assert sharding.fewer([(0, 1), (2, 3), (10, 11), (12, 13), (30, 31)]) == [(0, 3), (10, 13), (30, 31)]
+    assert sharding.fewer([(0, 1), (2, 3)]) == [(0, 1), (2, 3)]
