@@ -138,10 +138,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept += words[at:a]
                 at = b
             kept += words[at:]
-            texts.append(b" ".join(kept).decode())
+            texts.append(b" ".join(kept))
             counts.append(len(words))
             removed.append(len(words) - len(kept))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +163,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     del windows, repeats, per_doc
     scratch.release_shuffles()
     joined = rows.join(cuts, rows["doc_id"] == cuts["doc"], "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(_cut, "doc_id long, text string, n_words long, n_removed long")
+    return joined.mapInArrow(_cut, "doc_id long, text binary, n_words long, n_removed long").withColumn("text", F.col("text").cast("string"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
