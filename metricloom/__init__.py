@@ -1 +1,11 @@
-"""Time-correct metric reporting on Spark DataFrames."""
+"""Time-correct metric reporting on Spark DataFrames.
+
+Functions that run in Python workers (forecasts, custom aggregators) are pickled by value, so executors need
+no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

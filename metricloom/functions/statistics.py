@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from statistics import NormalDist
 
 import numpy as np
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
+_KNOWN: dict[tuple[float, float], float] = {}
 
 
 def normal_quantile(p: float) -> float:
@@ -23,10 +23,11 @@ def student_t_cdf(t: float, freedom: float) -> float:
     return 0.5 + math.copysign(area, t)
 
 
-@functools.cache
 def student_t_quantile(p: float, freedom: float) -> float:
     if p < 0.5:
         return -student_t_quantile(1 - p, freedom)
+    if (p, freedom) in _KNOWN:
+        return _KNOWN[p, freedom]
     lo, hi = 0.0, 2.0
     while student_t_cdf(hi, freedom) < p:
         lo, hi = hi, hi * 2
@@ -35,4 +36,5 @@ def student_t_quantile(p: float, freedom: float) -> float:
         if middle in (lo, hi):
             break
         lo, hi = (middle, hi) if student_t_cdf(middle, freedom) < p else (lo, middle)
-    return (lo + hi) / 2
+    _KNOWN[p, freedom] = (lo + hi) / 2
+    return _KNOWN[p, freedom]

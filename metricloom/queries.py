@@ -14,7 +14,7 @@ from .functions.aggregators import COUNT, FIRST, LAST, MAX, MEAN, MEDIAN, MIN, S
 from .functions.baseline import Baseline
 from .functions.charts import marks_frame, stacked_extent
 from .functions.periods import DAY, HOUR, MONTH, SEASON, WEEK, Boundaries, Span
-from .functions.statistics import student_t_quantile
+from .functions.statistics import normal_quantile, student_t_quantile
 from .operators.base import Filter, Map, Rekey, Tag, WhereIn, WhereNotIn, WhereValue, merge, run
 from .operators.combine import combine, compare
 from .operators.forecast import SEASON_END, Forecast, HoltWintersModel, Horizon, MeanModel, SeasonalNaiveModel, TrendModel
@@ -436,7 +436,12 @@ def merge_tag_union(spark, sf):
 # Forecasts of monthly totals, five series
 
 _FIFTHS = """m AS (SELECT o_custkey % 5 AS customer, date_trunc('month', o_orderdate)::TIMESTAMP AS bucket, sum(o_totalprice) / 1000 AS v FROM orders GROUP BY 1, 2),
-a AS (SELECT customer, bucket, v, row_number() OVER (PARTITION BY customer ORDER BY bucket) - 1 AS i, count(*) OVER (PARTITION BY customer) AS n FROM m),
+s1 AS (SELECT customer, unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 MONTH)) AS bucket FROM m GROUP BY 1),
+s2 AS (SELECT s1.customer, s1.bucket, v, row_number() OVER (PARTITION BY s1.customer ORDER BY s1.bucket) - 1 AS i FROM s1 LEFT JOIN m ON m.customer = s1.customer AND m.bucket = s1.bucket),
+s3 AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS v0, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER p AS i0,
+  first_value(v IGNORE NULLS) OVER q AS v1, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER q AS i1 FROM s2
+  WINDOW p AS (PARTITION BY customer ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY customer ORDER BY bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+a AS (SELECT customer, bucket, coalesce(v, v0 + (v1 - v0) * (i - i0) / (i1 - i0)) AS v, i, count(*) OVER (PARTITION BY customer) AS n FROM s3),
 l AS (SELECT max(bucket) AS last FROM m), k AS (SELECT customer, n, datediff('month', max(bucket), any_value(last)) AS g FROM a, l GROUP BY 1, 2),
 f AS (SELECT customer, n, g + h AS h, (last + to_months(h::INTEGER))::TIMESTAMP AS bucket FROM k, l, range(1, {0}) r(h))"""
 _PAST = "SELECT customer, bucket, round(v, 5) AS value, false AS estimated FROM m UNION ALL "
@@ -456,14 +461,42 @@ add("forecast_season_end", _forecast(MeanModel(), SEASON_END), f"""WITH {_FIFTHS
 {_PAST} SELECT customer, f.bucket, round((SELECT avg(v) FROM a WHERE a.customer = f.customer), 5), true FROM f, l WHERE f.bucket < {_SEASON.format('last')} + INTERVAL 1 YEAR""")
 add("forecast_running_total", _forecast(MeanModel(), running_total=True), f"""WITH {_SIX}
 SELECT customer, bucket, round(sum(v) OVER (PARTITION BY customer ORDER BY bucket ROWS UNBOUNDED PRECEDING), 5) AS value, false AS estimated FROM m
-UNION ALL SELECT customer, f.bucket, round((SELECT sum(v) + h * avg(v) FROM a WHERE a.customer = f.customer), 5), true FROM f""")
+UNION ALL SELECT customer, f.bucket, round(((SELECT sum(v) FROM m WHERE m.customer = f.customer) + h * (SELECT avg(v) FROM a WHERE a.customer = f.customer)), 5), true FROM f""")
 _T80 = "CASE n " + " ".join(f"WHEN {n} THEN {student_t_quantile(0.9, n - 1)!r}" for n in range(2, 140)) + " END"
 add("forecast_mean_range80", _forecast(MeanModel(), range=80), f"""WITH {_SIX}, s AS (SELECT customer, avg(v) AS mean, stddev_samp(v) AS sd FROM a GROUP BY 1)
 SELECT customer, bucket, round(v, 5) AS value, false AS estimated, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM m UNION ALL
 SELECT customer, bucket, round(mean, 5), true, round(mean - {_T80} * sd * sqrt(1 + 1.0 / n), 5), round(mean + {_T80} * sd * sqrt(1 + 1.0 / n), 5) FROM f JOIN s USING (customer)""")
-add("forecast_holt", _forecast(HoltWintersModel()))
-add("forecast_holt_winters", _forecast(HoltWintersModel(12), range=90))
-add("forecast_seasonal_range", _forecast(SeasonalNaiveModel(12), range=80, running_total=True))
+_GRID = "q AS (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS x)"
+add("forecast_holt", _forecast(HoltWintersModel()), f"""WITH RECURSIVE {_SIX}, {_GRID},
+r(customer, al, be, i, lev, tr, sse) AS (
+  SELECT y0.customer, p.x::DOUBLE, b.x::DOUBLE, 0::BIGINT, y0.v, y1.v - y0.v, 0.0::DOUBLE FROM a y0 JOIN a y1 ON y1.customer = y0.customer AND y0.i = 0 AND y1.i = 1, q p, q b
+  UNION ALL
+  SELECT r.customer, al, be, y.i, al * y.v + (1 - al) * (lev + tr), be * (al * y.v + (1 - al) * (lev + tr) - lev) + (1 - be) * tr, sse + (y.v - lev - tr) * (y.v - lev - tr)
+  FROM r JOIN a y ON y.customer = r.customer AND y.i = r.i + 1),
+w AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.customer ORDER BY sse, al, be) AS nth FROM r JOIN k ON k.customer = r.customer AND r.i = k.n - 1) WHERE nth = 1)
+{_PAST} SELECT f.customer, f.bucket, round(lev + h * tr, 5), true FROM f JOIN w USING (customer)""")
+_Q95 = normal_quantile(0.95)
+add("forecast_holt_winters", _forecast(HoltWintersModel(12), range=90), f"""WITH RECURSIVE {_SIX}, {_GRID},
+z AS (SELECT customer, avg(v) FILTER (i < 12) AS m1, (avg(v) FILTER (i BETWEEN 12 AND 23) - avg(v) FILTER (i < 12)) / 12 AS slope FROM a GROUP BY 1),
+e AS (SELECT a.customer, any_value(m1) AS m1, any_value(slope) AS slope, list(v - (m1 + slope * (i - 5.5)) ORDER BY i) AS s FROM a JOIN z USING (customer) WHERE i < 12 GROUP BY 1),
+r(customer, al, be, ga, i, lev, tr, s, sse) AS (
+  SELECT customer, p.x::DOUBLE, b.x::DOUBLE, c.x::DOUBLE, 11::BIGINT, m1 + slope * 5.5, slope, s, 0.0::DOUBLE FROM e, q p, q b, q c
+  UNION ALL
+  SELECT customer, al, be, ga, i, nl, be * (nl - lev) + (1 - be) * tr, s[1:i % 12] || [ga * (v - nl) + (1 - ga) * o] || s[i % 12 + 2:12], sse + (v - lev - tr - o) * (v - lev - tr - o)
+  FROM (SELECT r.customer, al, be, ga, y.i, y.v, lev, tr, s, sse, s[y.i % 12 + 1] AS o, al * (y.v - s[y.i % 12 + 1]) + (1 - al) * (lev + tr) AS nl FROM r JOIN a y ON y.customer = r.customer AND y.i = r.i + 1)),
+w AS (SELECT * FROM (SELECT r.*, n, row_number() OVER (PARTITION BY r.customer ORDER BY sse, al, be, ga) AS nth FROM r JOIN k ON k.customer = r.customer AND r.i = k.n - 1) WHERE nth = 1),
+p AS (SELECT f.customer, f.bucket, lev + h * tr + s[(w.n - 1 + h) % 12 + 1] AS v, {_Q95!r} * sqrt(sse / (w.n - 12)) * sqrt(1 + coalesce((
+  SELECT sum(pow(al * (1 + j * be) + CASE WHEN j % 12 = 0 THEN ga * (1 - al) ELSE 0 END, 2)) FROM range(1, h) t(j)), 0)) AS half FROM f JOIN w USING (customer))
+SELECT customer, bucket, round(v, 5) AS value, false AS estimated, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM m UNION ALL
+SELECT customer, bucket, round(v, 5), true, round(v - half, 5), round(v + half, 5) FROM p""")
+_T80_CHANGES = "CASE n " + " ".join(f"WHEN {n} THEN {student_t_quantile(0.9, n - 12)!r}" for n in range(13, 140)) + " END"
+add("forecast_seasonal_range", _forecast(SeasonalNaiveModel(12), range=80, running_total=True), f"""WITH {_SIX},
+c AS (SELECT x.customer, sqrt(avg(pow(x.v - y.v, 2))) AS sigma FROM a x JOIN a y ON y.customer = x.customer AND y.i = x.i - 12 GROUP BY 1),
+t AS (SELECT customer, sum(v) AS total FROM m GROUP BY 1),
+p AS (SELECT f.customer, f.bucket, n, total + (SELECT sum(a.v) FROM a, range(1, f.h + 1) r(j) WHERE a.customer = f.customer AND a.i = f.n - 12 + (j - 1) % 12) AS v,
+  sigma * sqrt((SELECT sum(pow((f.h - 1 - j) // 12 + 1, 2)) FROM range(0, f.h) r(j))) AS spread FROM f JOIN c USING (customer) JOIN t USING (customer))
+SELECT customer, bucket, round(sum(v) OVER (PARTITION BY customer ORDER BY bucket ROWS UNBOUNDED PRECEDING), 5) AS value, false AS estimated, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM m
+UNION ALL SELECT customer, bucket, round(v, 5), true, round(v - {_T80_CHANGES} * spread, 5), round(v + {_T80_CHANGES} * spread, 5) FROM p""")
 
 # Views
 
