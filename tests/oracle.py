@@ -8,7 +8,7 @@ import duckdb
 
 def shown(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v + 0.0:.9g}"
+        return "nan" if math.isnan(v) else f"{v + 0.0:.7g}"
     return str(v)
 
 
