@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..timeaxis import NTZ, Calendar, literal
+from ..timeaxis import NTZ, Calendar, literal, micros
 
 DAY_SECONDS = 86_400
 
@@ -56,8 +56,7 @@ class Span(Period):
         raise AssertionError
 
     def bucket(self, at: Column, calendar: Calendar) -> Column:
-        into = F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at).cast("int")
-        return F.date_trunc("second", at).cast(NTZ) - F.make_dt_interval(secs=(into % self.seconds).cast("decimal(18,6)"))
+        return F.timestamp_micros(micros(at) - F.pmod(micros(at), F.lit(self.seconds * 1_000_000))).cast(NTZ)
 
     def after(self, at, n=1):
         return at + F.make_dt_interval(secs=(F.lit(n) * self.seconds).cast("decimal(18,6)"))
@@ -74,7 +73,7 @@ class Day(Period):
     name = "day"
 
     def bucket(self, at, calendar):
-        return F.date_trunc("day", at).cast(NTZ)
+        return at.cast("date").cast(NTZ)
 
     def after(self, at, n=1):
         return at + F.make_dt_interval(days=F.lit(n).cast("int"))
@@ -88,8 +87,7 @@ class Week(Period):
     name = "week"
 
     def bucket(self, at, calendar):
-        into = F.pmod(F.weekday(at) - calendar.week_start, F.lit(7))
-        return F.date_trunc("day", at).cast(NTZ) - F.make_dt_interval(days=into)
+        return F.date_sub(at.cast("date"), F.pmod(F.weekday(at) - calendar.week_start, F.lit(7))).cast(NTZ)
 
     def after(self, at, n=1):
         return at + F.make_dt_interval(days=(F.lit(n) * 7).cast("int"))
@@ -103,7 +101,7 @@ class Month(Period):
     name = "month"
 
     def bucket(self, at, calendar):
-        return F.date_trunc("month", at).cast(NTZ)
+        return F.trunc(at.cast("date"), "month").cast(NTZ)
 
     def after(self, at, n=1):
         return at + F.make_ym_interval(months=F.lit(n).cast("int"))
