@@ -30,8 +30,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item within its edit budget go."""
-    hits = decontaminate.leaked(F.col("text"), read_table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("_hits", hits).where(F.size("_hits") == 0).drop("_hits")
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ smallest edit distance of the item to any passage in the window.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,12 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import Scratch, read_table
 
 #: Edits allowed for each character of an item; least length of a piece, and of an item.
 ERROR_RATE, LEAST_PIECE, LEAST_ITEM = 0.06, 12, 16
 #: Items are searched for in blocks of so many characters, so that no automaton or closure outgrows a task.
-BLOCK_CHARS = 400_000
+BLOCK_CHARS, BLOCKS_AT_ONCE = 400_000, 4
 HITS = "array<struct<item_id: bigint, distance: int, budget: int, start: int, end: int>>"
 
 
@@ -147,18 +148,44 @@ def _hits_in(items: list[tuple[int, str]], rate: float):
     return F.pandas_udf(run, HITS)
 
 
-def leaked(text: Column, benchmark: DataFrame, rate: float = ERROR_RATE) -> Column:
-    """An array of hits for each text: one for each item of which a passage within its budget occurs.
+def hits_of(text: Column, blocks: list[list[tuple[int, str]]], rate: float = ERROR_RATE) -> Column:
+    """An array of hits for each text; positions are in the text with case and white space normalised."""
+    columns = [_hits_in(block, rate)(text) for block in blocks]
+    return F.flatten(F.array(*columns)) if columns else F.array().cast(HITS)
+
+
+def _passes(benchmark: DataFrame) -> Iterator[list[list[tuple[int, str]]]]:
+    """Blocks by the number that a task can hold at once."""
+    blocks = item_blocks(benchmark)
+    while held := list(itertools.islice(blocks, BLOCKS_AT_ONCE)):
+        yield held
+
 
-    Case and white space are ignored; positions are in the text so normalised.  Null and empty texts have
-    no hits, nor has anything when the benchmark is empty.  Items of under LEAST_ITEM characters are left
-    out; repeated items are reported each under its id.
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row (doc_id, item_id, distance, budget, start, end) for each document and item of which it holds a passage within the budget.
+
+    Null and empty texts have no hits, nor has anything when the benchmark is empty.  Items of under
+    LEAST_ITEM characters are left out; repeated items are reported each under its id, and so are rows that
+    repeat a document's.  A large benchmark takes several passes over the documents.
     """
-    columns = [_hits_in(block, rate)(text) for block in item_blocks(benchmark)]
-    return F.flatten(F.array(*columns)) if columns else F.array().cast(HITS)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = None
+    for blocks in _passes(benchmark):
+        part = rows.select("doc_id", F.inline(hits_of(F.col("text"), blocks, rate)))
+        out = part if out is None else out.unionByName(part)
+    return rows.select("doc_id", F.inline(hits_of(F.col("text"), []))) if out is None else out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
+    """The documents that hold no item; between passes they are written to the shared folder."""
+    scratch, passes = Scratch(docs.sparkSession, "decontaminate"), 0
+    for blocks in _passes(benchmark):
+        docs = scratch.write(docs) if passes else docs
+        docs = docs.where(F.size(hits_of(docs[text_col], blocks, rate)) == 0)
+        passes += 1
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and test item that it holds; clean documents have none."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", leaked(F.col("text"), read_table(spark, sf_dir, "benchmark")).alias("hits"))
-    return docs.select("doc_id", F.inline("hits"))
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

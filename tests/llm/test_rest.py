@@ -155,6 +155,7 @@ def test_bit_parallel_distance(item, text):
 
 def test_leaks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 500)  # several blocks
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)  # and passes
     draw = random.Random(5)
     items = [(i, words(400 + i, 30)) for i in range(6)] + [(6, None), (7, ""), (8, "tiny"), (9, words(400, 30)), (None, words(406, 30))]
     rows = []
@@ -167,8 +168,13 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     rows += odd_texts()
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     docs = make_docs(spark, rows)
-    hits = docs.select("doc_id", "text", decontaminate.leaked(F.col("text"), benchmark).alias("h")).select("doc_id", "text", F.inline("h")).collect()
+    blocks = list(decontaminate.item_blocks(benchmark))
+    hits = docs.select("doc_id", "text", F.inline(decontaminate.hits_of(F.col("text"), blocks))).collect()
     found = {(r["doc_id"], r["text"], r["item_id"]): r for r in hits}
+    assert len(blocks) > 2 and sorted(map(repr, decontaminate.leaks(docs, benchmark).drop("budget").collect())) == sorted(map(repr, docs.select("doc_id", F.inline(decontaminate.hits_of(F.col("text"), blocks))).drop("budget").collect()))
+    clean = decontaminate.without_leaks(docs, benchmark)
+    dirty = {(r["doc_id"], r["text"]) for r in hits}
+    assert clean.columns == docs.columns and sorted(map(repr, [(r["doc_id"], r["text"]) for r in clean.collect()])) == sorted(map(repr, [x for x in rows if x not in dirty]))
     for i, text in rows:
         flat = decontaminate.normalised(text or "")
         for item_id, item in items:
@@ -184,11 +190,10 @@ def test_leaks_against_brute_force(spark, monkeypatch):
 
 def test_decontamination_of_empty_tables(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert odd.select(F.size(decontaminate.leaked(F.col("text"), none)).alias("n")).where("n > 0").count() == 0
+    assert decontaminate.leaks(odd, none).count() == 0 and decontaminate.without_leaks(odd, none).count() == odd.count()
     some = spark.createDataFrame([(1, words(2, 40))], "item_id long, text string")
-    assert empty.select(decontaminate.leaked(F.col("text"), some)).count() == 0
-    found = odd.select("doc_id", F.size(decontaminate.leaked(F.col("text"), some)).alias("n")).where("n > 0").collect()
-    assert [r["doc_id"] for r in found] == [20]  # at the head of a text of 40,000 words
+    assert decontaminate.leaks(empty, some).count() == 0 and decontaminate.without_leaks(empty, some).count() == 0
+    assert [r["doc_id"] for r in decontaminate.leaks(odd, some).collect()] == [20]  # at the head of a text of 40,000 words
 
 
 # Sharding
