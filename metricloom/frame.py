@@ -19,6 +19,7 @@ class PointFrame:
     """Columns: the dimensions, ``at`` (NULL: timeless), ``value`` (NULL: missing); after a forecast also
     ``estimated`` and, if it has a range, ``low`` and ``high``.
 
+    ``unique`` says that no two points share key and time, as after any bucketing or grouping.
     ``hidden`` dimensions belong to every key though no report names them (the metric of a batch).
     """
 
@@ -30,6 +31,7 @@ class PointFrame:
     estimates: bool = False
     ranged: bool = False
     hidden: tuple[str, ...] = ()
+    unique: bool = False
 
     @property
     def keys(self) -> tuple[str, ...]:

@@ -96,7 +96,7 @@ class Rekey(_Lambda):
         made = self.function(PointColumns(frame))
         plain = frame.having(frame.df, ranged=False)
         df = plain.df.select(*frame.hidden, *[c.alias(d) for d, c in made.items()], AT, VALUE, *plain.extras)
-        return plain.having(df, dims=tuple(made), entity=frame.entity if frame.entity in made else None)
+        return plain.having(df, dims=tuple(made), entity=frame.entity if frame.entity in made else None, unique=False)
 
 
 @dataclass(frozen=True)
@@ -215,4 +215,4 @@ def merge(*frames: PointFrame) -> PointFrame:
         df = part if df is None else df.unionByName(part, allowMissingColumns=True)
     dims = tuple(dict.fromkeys(d for f in frames for d in f.dims))
     same_axis = all(f.axis == first.axis for f in frames)
-    return first.having(df, dims=dims, estimates=estimates, ranged=ranged, axis=first.axis if same_axis else type(first.axis)(first.axis.kind))
+    return first.having(df, dims=dims, estimates=estimates, ranged=ranged, axis=first.axis if same_axis else type(first.axis)(first.axis.kind), unique=False)

@@ -90,7 +90,7 @@ def ratio(inputs: PointFrame, metric_dim: str, numerator: str, denominator: str,
     ok = F.col("_d").isNotNull() & (F.col("_d") != 0)
     if minimum is not None:
         ok = ok & (F.col("_d") >= float(minimum))
-    if inputs.axis.grain is not None or den.estimates:
+    if inputs.unique or den.estimates:
         unique = [F.max(F.when(F.col(metric_dim) == m, F.col(VALUE))).alias(c) for m, c in ((numerator, "_n"), (denominator, "_d"))]
         if inputs.estimates:
             unique.append(F.coalesce(F.max(inputs.estimated()), F.lit(False)).alias(ESTIMATED))
@@ -112,7 +112,7 @@ def linear(inputs: PointFrame, metric_dim: str, terms: dict[str, float], need_al
     if inputs.estimates:
         made.append(F.coalesce(F.max(inputs.estimated()), F.lit(False)).alias(ESTIMATED))
     df = inputs.df.groupBy(*out.keys, AT).agg(*made).where(F.col("_present") >= (len(terms) if need_all else 1))
-    return out.having(df, unit=unit)
+    return out.having(df, unit=unit, unique=True)
 
 
 def shifted(baseline: PointFrame, shift: CalendarShift, calendar: Calendar) -> PointFrame:

@@ -52,7 +52,7 @@ class GroupBy(Transform):
         if self.timeless:
             df = df.withColumn(AT, F.lit(None).cast(NTZ))
         entity = frame.entity if frame.entity in self.by else None
-        return frame.having(df, dims=self.by, entity=entity, axis=replace(frame.axis, grain=None) if self.timeless else frame.axis)
+        return frame.having(df, dims=self.by, entity=entity, axis=replace(frame.axis, grain=None) if self.timeless else frame.axis, unique=True)
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ class Reduce(Transform):
         if frame.estimates:
             value.append(F.coalesce(F.max(frame.estimated()), F.lit(False)).alias(ESTIMATED))
         df = keyed.groupBy(*frame.hidden, *made).agg(*value).withColumn(AT, F.lit(None).cast(NTZ))
-        return frame.having(df, dims=tuple(made), entity=None, axis=replace(frame.axis, grain=None))
+        return frame.having(df, dims=tuple(made), entity=None, axis=replace(frame.axis, grain=None), unique=True)
 
 
 @dataclass(frozen=True)

@@ -51,9 +51,9 @@ class Resample(Transform):
         made = made.select(*keys, F.col("_bucket").alias(AT), F.nanvl(VALUE, F.lit(None).cast("double")).alias(VALUE))
         axis = TimeAxis(LOCAL, self.period, zone)
         if self.gap == LEAVE:
-            return frame.having(made.where(F.col(VALUE).isNotNull()), axis=axis)
+            return frame.having(made.where(F.col(VALUE).isNotNull()), axis=axis, unique=True)
         filled = fill(densified(made, keys, self.period, self._window(frame, context, zone)), keys, self.gap)
-        return frame.having(filled, axis=axis)
+        return frame.having(filled, axis=axis, unique=True)
 
     def _window(self, frame: PointFrame, context: Context, zone: str | None) -> tuple[Column, Column] | None:
         frame_of_time = context.timeframe

@@ -22,8 +22,8 @@ def per_key(keys) -> WindowSpec:
 class Rolling(Transform):
     """For every point, the aggregate of its key's values in (t - window, t]: a duration, not calendar days.
 
-    Bucketed points have unique times and use a range frame.  Raw points may share a time; then a point sees
-    those of its time up to itself in row order only.
+    Bucketed points have unique times and use a range frame.  Points of a key that may share a time see those
+    of their time up to themselves in row order only.
     """
 
     window: dt.timedelta
@@ -42,16 +42,19 @@ class Rolling(Transform):
         reach = self.window // dt.timedelta(microseconds=1) - 1
         rows = frame.df.where(F.col(AT).isNotNull()).withColumn("_t", micros(F.col(AT)))
         w = per_key(frame.keys).orderBy("_t").rangeBetween(-reach, Window.currentRow)
-        if frame.axis.grain is not None:
+        if frame.unique:
             made = rows.withColumn("_value", self.agg.over(F.col(VALUE), w))
             if frame.estimates:
                 made = made.withColumn(ESTIMATED, F.max(frame.estimated()).over(w))
             return frame.having(made.drop(VALUE).withColumnRenamed("_value", VALUE))
         numbered = rows.withColumn("_n", F.row_number().over(per_key(frame.keys).orderBy("_t")))
-        seen = F.array_sort(F.collect_list(F.struct("_t", "_n", VALUE)).over(w))
+        seen = F.array_sort(F.collect_list(F.struct("_t", "_n", VALUE, *([ESTIMATED] if frame.estimates else []))).over(w))
         upto = F.filter("_seen", lambda x: (x["_t"] < F.col("_t")) | (x["_n"] <= F.col("_n")))
         values = F.transform(upto, lambda x: x[VALUE])
-        return frame.having(numbered.withColumn("_seen", seen).withColumn(VALUE, self.agg.of_array(values)))
+        made = numbered.withColumn("_seen", seen).withColumn(VALUE, self.agg.of_array(values))
+        if frame.estimates:
+            made = made.withColumn(ESTIMATED, F.exists(upto, lambda x: x[ESTIMATED] & x[VALUE].isNotNull()))
+        return frame.having(made)
 
 
 @dataclass(frozen=True)

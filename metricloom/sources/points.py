@@ -160,7 +160,7 @@ class WideSource(_Table):
         order = [F.col("_at"), *[F.col(k) for k in sorted(keys)]]
         made = df.where(F.col(AT).isNotNull()).groupBy(*keys, AT).agg(*[resample.agg.column(F.col(f"_v{i}"), order).alias(f"_v{i}") for i in range(len(metrics))])
         axis = TimeAxis(LOCAL, resample.period, calendar.zone if self.axis.kind == INSTANT else None)
-        frame = PointFrame(self._long(made, metrics, keys), (self.entity, *named), self.entity, axis, hidden=(METRIC,))
+        frame = PointFrame(self._long(made, metrics, keys), (self.entity, *named), self.entity, axis, hidden=(METRIC,), unique=True)
         if resample.gap == LEAVE:
             return frame.having(frame.df.where(F.col(VALUE).isNotNull()))
         again = Resample(resample.period, type(resample.agg)("last"), resample.gap, resample.across) if type(resample.agg).__name__ == "Aggregator" else None

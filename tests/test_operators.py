@@ -237,6 +237,14 @@ def test_estimates_propagate(spark):
     assert values(GroupBy(SUM).apply(out), VALUE, ESTIMATED) == [(4, False), (6, False), (5, True)]
     assert [e for _, e in values(Cumulative(SUM).apply(out), VALUE, ESTIMATED)] == [False, False, True] * 2
     assert [e for _, e in values(Total(SUM, ("player",)).apply(out), VALUE, ESTIMATED)] == [True, True]
+    short = Rolling(dt.timedelta(days=40), SUM)
+    for frame in (out, GroupBy(SUM, ("player",)).apply(out)):  # by arrays, and by range frames
+        assert values(short.apply(frame), VALUE, ESTIMATED) == [(1, False), (3, False), (3.5, True), (3, False), (7, False), (7.5, True)]
+
+
+def test_rolling_after_a_rekey_counts_duplicates_one_by_one(spark):
+    both = Rekey(lambda p: {"all": F.lit("x")}).apply(Resample(DAY, SUM).apply(points(spark, [(k, d("2025-01-01"), 1.0) for k in (1, 2, 3)], {"e": "bigint"}, "e", TimeAxis(LOCAL))))
+    assert values(Rolling(dt.timedelta(days=1), SUM).apply(both)) == [1, 2, 3]
 
 
 def test_quantiles():
