@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column

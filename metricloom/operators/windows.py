@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..frame import AT, ESTIMATED, VALUE, PointFrame
+from ..frame import AT, ESTIMATED, VALUE
 from ..functions.aggregators import MEAN, SUM, Aggregator
 from ..timeaxis import Context, micros
 from .base import Transform

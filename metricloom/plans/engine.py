@@ -18,7 +18,7 @@ from ..operators import combine
 from ..operators.base import Transform, run
 from ..operators.resample import Resample
 from ..sources.points import METRIC, Source
-from ..timeaxis import Calendar, Context, Timeframe
+from ..timeaxis import Calendar, Context
 from .cache import ChartCache, SliceCache
 from .catalog import SEMI_ADDITIVE, Catalog, Linear, Metric, Ratio
 from .spec import BASELINE, PERCENT, Chart, Dashboard, DashboardContext, Report
