@@ -13,6 +13,7 @@ windows about n**2 / 2**65 pairs are taken for equal by chance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,46 @@ from .words import Windows, WordHashes, mixed
 WINDOW = 20
 #: A map task compares so many words at a time.
 CHUNK_WORDS, ROWS = 4_000_000, 200_000
-RUN_SHIFT = 32
+#: Low bits of a known run's hash column, which hold its length.
+LENGTH = (1 << 31) - 1
 
 
-def _map_windows(size: int):
-    """(id, text) -> rows (hash, place, doc): place is the start of a window seen first in this task, or run length << 32 | start of known repeats."""
+@dataclass(frozen=True)
+class Layout:
+    """How (hash, doc, start) travels: start and id share one number where both fit, since each byte counts a hundred times the documents.
+
+    Rows with a negative place are runs of known repeats; their length is in the low bits of the hash.
+    """
+
+    least: int
+    bits: int | None
+
+    @property
+    def columns(self) -> list[str]:
+        return ["hash", "place"] if self.bits else ["hash", "place", "doc"]
+
+    def arrays(self, h: np.ndarray, d: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
+        return [h, (d - self.least) << self.bits | p] if self.bits else [h, p, d]
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """hash, doc, start and whether a row is a known run."""
+        h, place = (batch.column(i).to_numpy() for i in (0, 1))
+        known = place < 0
+        place = np.where(known, ~place, place)
+        if self.bits:
+            return h, (place >> self.bits) + self.least, place & ((1 << self.bits) - 1), known
+        return h, batch.column(2).to_numpy(), place, known
+
+
+def layout_for(rows: DataFrame) -> Layout:
+    found = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+    least, most, longest = (x or 0 for x in found)
+    bits = (longest // 2 + 1).bit_length()  # a word takes two bytes at least
+    return Layout(least, bits if (most - least).bit_length() + bits <= 62 else None)
+
+
+def _map_windows(size: int, layout: Layout):
+    """(id, text) -> rows of the layout: windows seen first in this task, and runs of known repeats."""
 
     def rows_of(docs: list[tuple[int, np.ndarray]], windows: Windows) -> Iterator[pa.RecordBatch]:
         docs.sort(key=lambda x: x[0])
@@ -52,10 +88,12 @@ def _map_windows(size: int):
         heads[1:] = (at[1:] != at[:-1] + 1) | (d[at[1:]] != d[at[:-1]])
         lengths = np.diff(np.append(np.flatnonzero(heads), len(at)))
         at = at[heads]
-        for hh, pp, dd in ((h[first], p[first], d[first]), (mixed(d[at].astype(np.uint64)), p[at] | (lengths << RUN_SHIFT), d[at])):
-            for i in range(0, len(hh), ROWS):
-                part = slice(i, i + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(hh[part].view(np.int64)), pa.array(pp[part]), pa.array(dd[part])], ["hash", "place", "doc"])
+        fresh = layout.arrays(h[first].view(np.int64), d[first], p[first])
+        runs = layout.arrays(mixed(d[at].astype(np.uint64)).view(np.int64) & ~LENGTH | lengths, d[at], p[at])
+        runs[1] = ~runs[1]
+        for columns in (fresh, runs):
+            for i in range(0, len(columns[0]), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS]) for c in columns], layout.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, windows, docs, held = WordHashes(), Windows(size), [], 0
@@ -73,25 +111,28 @@ def _map_windows(size: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hash, doc, place) -> (doc, start, windows) of all windows that are not the first of their hash."""
-    last = None  # hash, doc and place of the first window of the run that is open
-    for batch in batches:
-        h, p, d = (batch.column(i).to_numpy() for i in range(3))
-        known = p >> RUN_SHIFT > 0
-        runs = [(d[known], p[known] & ((1 << RUN_SHIFT) - 1), p[known] >> RUN_SHIFT)]
-        h, p, d = h[~known], p[~known], d[~known]
-        if len(h):
-            if last is not None:
-                h, d, p = (np.concatenate([[x], y]) for x, y in zip(last, (h, d, p)))
-            heads = np.ones(len(h), bool)
-            heads[1:] = h[1:] != h[:-1]
-            first = np.flatnonzero(heads)[np.cumsum(heads) - 1]
-            again = (d != d[first]) | (p != p[first])
-            runs.append((d[again], p[again], np.ones(int(again.sum()), np.int64)))
-            last = h[-1], d[first[-1]], p[first[-1]]
-        dd, pp, nn = (np.concatenate(x) for x in zip(*runs))
-        yield pa.RecordBatch.from_arrays([pa.array(dd), pa.array(pp.astype(np.int32)), pa.array(nn.astype(np.int32))], ["doc", "start", "windows"])
+def _repeats(layout: Layout):
+    """Rows sorted by (hash, doc, start) -> (doc, start, windows) of all windows that are not the first of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # hash of the run that is open, doc and start of its first window
+        for batch in batches:
+            h, d, p, known = layout.read(batch)
+            runs = [(d[known], p[known], h[known] & LENGTH)]
+            h, p, d = h[~known], p[~known], d[~known]
+            if len(h):
+                if last is not None:
+                    h, d, p = (np.concatenate([[x], y]) for x, y in zip(last, (h, d, p)))
+                heads = np.ones(len(h), bool)
+                heads[1:] = h[1:] != h[:-1]
+                first = np.flatnonzero(heads)[np.cumsum(heads) - 1]
+                again = (d != d[first]) | (p != p[first])
+                runs.append((d[again], p[again], np.ones(int(again.sum()), np.int64)))
+                last = h[-1], d[first[-1]], p[first[-1]]
+            dd, pp, nn = (np.concatenate(x) for x in zip(*runs))
+            yield pa.RecordBatch.from_arrays([pa.array(dd), pa.array(pp.astype(np.int32)), pa.array(nn.astype(np.int32))], ["doc", "start", "windows"])
+
+    return run
 
 
 def _intervals(size: int):
@@ -156,11 +197,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     spark = docs.sparkSession
     scratch, many = Scratch(spark, "substring-dedup"), partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs[text_col]).cast("binary").alias("text"))
-    windows = rows.where("doc_id is not null").mapInArrow(_map_windows(window), "hash long, place long, doc long")
-    repeats = windows.repartition(many, "hash").sortWithinPartitions("hash", "doc", "place").mapInArrow(_repeats, "doc long, start int, windows int")
+    rated = rows.where("doc_id is not null")
+    layout = layout_for(rated)
+    windows = rated.mapInArrow(_map_windows(window, layout), ", ".join(f"{c} long" for c in layout.columns))
+    order = ["hash", "doc", "place"] if "doc" in layout.columns else ["hash", "place"]
+    repeats = scratch.write(windows.repartition(many, "hash").sortWithinPartitions(*order).mapInArrow(_repeats(layout), "doc long, start int, windows int"))
+    del windows
+    scratch.release_shuffles()
     per_doc = repeats.repartition(many, "doc").sortWithinPartitions("doc", "start").mapInArrow(_intervals(window), "doc long, starts array<int>, ends array<int>")
     cuts = scratch.write(per_doc)
-    del windows, repeats, per_doc
+    scratch.drop(repeats)
+    del per_doc
     scratch.release_shuffles()
     joined = rows.join(cuts, rows["doc_id"] == cuts["doc"], "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(_cut, "doc_id long, text binary, n_words long, n_removed long").withColumn("text", F.col("text").cast("string"))

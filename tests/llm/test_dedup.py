@@ -149,6 +149,15 @@ def test_substring_dedup_with_a_shared_passage(spark, monkeypatch, chunk):
     assert order(tuple(r) for r in substring_dedup.substring_dedup(make_docs(spark, rows)).collect()) == order(substring_brute(rows, 20))
 
 
+def test_ids_too_far_apart_to_share_a_number_with_places(spark):
+    far = 1 << 62
+    rows = [(i * 7 - far if i % 2 else far - i, f"{words(i % 9, 25)} {words(i, 12)} {words(i % 9, 25)}") for i in range(40)]
+    docs = make_docs(spark, rows)
+    typed = docs.select("doc_id", docs["text"].cast("binary").alias("text"))
+    assert substring_dedup.layout_for(typed).bits is None and substring_dedup.layout_for(typed.where("doc_id > 0")).bits
+    assert order(tuple(r) for r in substring_dedup.substring_dedup(docs).collect()) == order(substring_brute(rows, 20))
+
+
 def test_window_hashes_depend_on_the_words_alone():
     known, windows = WordHashes(), Windows(3)
     w = words(1, 500).encode().split()
