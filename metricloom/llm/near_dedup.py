@@ -299,9 +299,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     banded = nodes.select("node", "sketch").mapInArrow(_bands, "band long, node long")
     shared = scratch.write(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub"))
     buckets = scratch.write(banded.join(shared, "band"))
-    scratch.release_shuffles()
     sets = scratch.write(shingle_sets(rows, buckets.select(F.col("node").alias("doc_id")).distinct(), shingle))
-    scratch.release_shuffles()
     links = verified(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, sets, percent, scratch)
     first = scratch.write(components(links, scratch))
 
@@ -312,11 +310,9 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     placed = scratch.write(placed.select("band", "node", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("outside")))
     sketched = in_blocks(placed, scratch).join(nodes, "node").select("band", "x", "y", "node", "component", "n", "sketch")
     hopeful = scratch.write(by_block(sketched, many).mapInArrow(_hopeful(percent), "band long, node long").distinct())
-    scratch.release_shuffles()
     full = in_blocks(scratch.write(placed.join(hopeful, ["band", "node"], "left_semi")), scratch).join(sets, "node").select("band", "x", "y", "node", "component", "shingles")
     more = scratch.write(by_block(full, many).mapInArrow(_spanning(percent), "a long, b long").distinct())
     scratch.drop(sets, hopeful)
-    scratch.release_shuffles()
     joined = components(links.unionByName(more), scratch)
 
     out = members.join(joined, "node", "left")
@@ -338,7 +334,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
     full = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     links = scratch.write(full.mapInArrow(_confirmed(percent), "a long, b long").distinct())
     scratch.drop(likely)
-    scratch.release_shuffles()
     return links
 
 

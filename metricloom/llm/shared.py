@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -15,6 +14,9 @@ from pyspark.sql import functions as F
 WHITESPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _OWN_FOLDERS: list[str] = []
 
 
@@ -41,8 +43,13 @@ class Scratch:
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
-        path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        path, conf = f"{self.base}/{self.count}", self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")  # the table replaces the shuffle files that it was made from
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -54,11 +61,6 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(conf).delete(path, True)
 
-    def release_shuffles(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished jobs that nothing refers to."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

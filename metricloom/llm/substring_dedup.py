@@ -201,14 +201,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     layout = layout_for(rated)
     windows = rated.mapInArrow(_map_windows(window, layout), ", ".join(f"{c} long" for c in layout.columns))
     order = ["hash", "doc", "place"] if "doc" in layout.columns else ["hash", "place"]
-    repeats = scratch.write(windows.repartition(many, "hash").sortWithinPartitions(*order).mapInArrow(_repeats(layout), "doc long, start int, windows int"))
-    del windows
-    scratch.release_shuffles()
+    repeats = windows.repartition(many, "hash").sortWithinPartitions(*order).mapInArrow(_repeats(layout), "doc long, start int, windows int")
     per_doc = repeats.repartition(many, "doc").sortWithinPartitions("doc", "start").mapInArrow(_intervals(window), "doc long, starts array<int>, ends array<int>")
     cuts = scratch.write(per_doc)
-    scratch.drop(repeats)
-    del per_doc
-    scratch.release_shuffles()
     joined = rows.join(cuts, rows["doc_id"] == cuts["doc"], "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(_cut, "doc_id long, text binary, n_words long, n_removed long").withColumn("text", F.col("text").cast("string"))
 
