@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -425,9 +426,12 @@ def compare_pct(spark, sf):
 SELECT 'orders' AS source, o_custkey AS entity, '' AS note, date_trunc('month', o_orderdate)::TIMESTAMP AS bucket, count(*)::DOUBLE AS value FROM orders WHERE o_custkey BETWEEN 1 AND 20 GROUP BY ALL
 UNION ALL SELECT 'lines', l_suppkey, NULL, date_trunc('month', l_shipdate)::TIMESTAMP, count(*)::DOUBLE FROM lineitem WHERE l_suppkey BETWEEN 1 AND 20 GROUP BY ALL""")
 def merge_tag_union(spark, sf):
-    few = tuple(range(1, 21))
-    o = Engine(ORDERS, orders(spark, sf)).frame(Report("total", entities=few, transforms=(Resample(MONTH, COUNT),)))
-    n = Engine(LINES, lines(spark, sf)).frame(Report("price", entities=few, transforms=(Resample(MONTH, COUNT),)))
+    return _merged(spark, sf, tuple(range(1, 21)))
+
+
+def _merged(spark, sf, entities=None) -> DataFrame:
+    o = Engine(ORDERS, orders(spark, sf)).frame(Report("total", entities=entities, transforms=(Resample(MONTH, COUNT),)))
+    n = Engine(LINES, lines(spark, sf)).frame(Report("price", entities=entities, transforms=(Resample(MONTH, COUNT),)))
     o = run(o, [Rekey(lambda p: {"entity": p["customer"], "note": F.lit("")}, "entity"), Tag("source", "orders")])
     n = run(n, [Rekey(lambda p: {"entity": p["supplier"]}, "entity"), Tag("source", "lines")])
     return table(merge(o, n))
@@ -609,6 +613,25 @@ def dashboard_chart(spark, sf):
     return out
 
 
+# Gap policies, raw counts, rolling ratios and merges over all entities; the SQL is that of the query of a few entities without its id filters
+
+_WHOLE = {
+    "gap_leave": report(ORDERS, orders, "total", _MONTHLY),
+    "gap_zero": report(ORDERS, orders, "total", Resample(MONTH, SUM, ZERO)),
+    "gap_carry": report(ORDERS, orders, "total", Resample(MONTH, SUM, CARRY)),
+    "gap_interpolate": report(ORDERS, orders, "total", Resample(MONTH, SUM, INTERPOLATE)),
+    "gap_zero_timeframe": report(ORDERS, orders, "total", Resample(MONTH, SUM, ZERO, TIMEFRAME), timeframe=_WIDE_FRAME),
+    "gap_carry_timeframe": report(ORDERS, orders, "total", Resample(MONTH, SUM, CARRY, TIMEFRAME), timeframe=_WIDE_FRAME),
+    "gap_zero_day": report(EVENTS, events, "signup", Resample(DAY, COUNT, ZERO)),
+    "rolling_raw_count": report(LINES, lines, "price", Rolling(dt.timedelta(days=30), COUNT)),
+    "ratio_rolling": report(EVENTS, events, "conversion", Resample(DAY, SUM, ZERO), Rolling(dt.timedelta(days=7), MEAN)),
+    "merge_tag_union": _merged,
+}
+_ID_FILTER = re.compile(r" (?:WHERE|AND) (?:o_custkey|user_id|l_suppkey) BETWEEN \d+ AND \d+")
+for _name, _function in _WHOLE.items():
+    add(f"{_name}_whole", _function, _ID_FILTER.sub("", SQL[_name]))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly means of purchases on the London clock."""
     return QUERIES["resample_week_london"](spark, sf)
