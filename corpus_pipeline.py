@@ -20,9 +20,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(F.col("_language.lang") != language_id.UNKNOWN).drop("_language")
 
 
+#: Documents are near copies when their sets of five-word shingles have this similarity.
+SHINGLE, PERCENT = 5, 80
+
+
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays; of rows with the same id, one; null ids all stay."""
-    kept = near_dedup.near_dedup(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_dedup.near_dedup(docs, SHINGLE, PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
     same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     first = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(same_id)).where("_nth = 1").drop("_nth")
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))

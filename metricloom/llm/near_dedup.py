@@ -3,8 +3,8 @@
 A document's 5-word shingles are hashed to 64 bits and dealt to 256 buckets; each bucket keeps its least
 hash, compressed to a leading-zero count (6 bits) and a mantissa (10 bits).  Empty buckets borrow the
 register of another one, found by a fixed permutation, so equal registers stay as likely as the Jaccard
-similarity says.  36 bands of 7 registers propose pairs: a pair of similarity 0.85 is missed once in a
-million.
+similarity says.  Bands of registers propose pairs, of as many registers as still miss a pair of the least
+similarity at most once in a million: 36 bands of 7 for 0.85, 51 of 5 for 0.8.
 
 Equal shingle sets are one class from the start.  In each band bucket every class is first compared with
 the bucket's smallest one; similar ones are linked and their components found.  Only buckets that still
@@ -34,8 +34,9 @@ from .words import Windows, WordHashes, mixed
 SHINGLE, PERCENT = 5, 85
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
-BANDS, BAND_REGISTERS = 36, 7
 DEVIATIONS = 5
+#: Chance to miss a pair of exactly the least similarity.
+MISSED = 1e-6
 #: Members of a bucket that are compared at once, and shingles counted at once.
 BLOCK, COLUMNS = 512, 4096
 
@@ -99,22 +100,34 @@ def _sets(shingle: int):
     return run
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_shape(percent: int) -> tuple[int, int]:
+    """(bands, registers in each): the most registers with which a pair of this similarity is missed with a chance of MISSED at most."""
+    missed = lambda width: (1 - (percent / 100) ** width) ** (BUCKETS // width)
+    width = max((w for w in range(1, BUCKETS + 1) if missed(w) <= MISSED), default=1)
+    return BUCKETS // width, width
+
+
+def band_keys(registers: np.ndarray, bands: int, width: int) -> np.ndarray:
     """One key for each row and band of registers."""
-    factors = mixed(np.arange(1, BAND_REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
-    salts = mixed(np.arange(1001, 1001 + BANDS, dtype=np.uint64))
-    cut = registers[:, : BANDS * BAND_REGISTERS].reshape(-1, BANDS, BAND_REGISTERS).astype(np.uint64) + np.uint64(1)
+    factors = mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    salts = mixed(np.arange(1001, 1001 + bands, dtype=np.uint64))
+    cut = registers[:, : bands * width].reshape(-1, bands, width).astype(np.uint64) + np.uint64(1)
     return mixed((mixed(cut) * factors).sum(axis=2, dtype=np.uint64) + salts)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        keys = band_keys(registers)
-        node = np.repeat(batch.column(0).to_numpy(), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["band", "node"])
+def _bands(percent: int):
+    bands, width = band_shape(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            keys = band_keys(registers, bands, width)
+            node = np.repeat(batch.column(0).to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["band", "node"])
+
+    return run
 
 
 def chance_collisions(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -200,6 +213,7 @@ def _hopeful(percent: int):
 
     A pair counts in the first band that it shares.
     """
+    bands, width = band_shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = percent / 100
@@ -210,7 +224,7 @@ def _hopeful(percent: int):
             node, hopeful = rows.column(3).to_numpy(), np.zeros(len(component), bool)
             registers = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, BUCKETS)
             least = j - DEVIATIONS * np.sqrt(j * (1 - j) / np.minimum(n, BUCKETS))
-            keys = band_keys(registers)
+            keys = band_keys(registers, bands, width)
             own = int(np.flatnonzero(keys[0].view(np.int64) == band)[0])
             for at in range(0, len(node), 64):
                 part = slice(at, at + 64)
@@ -296,7 +310,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     nodes = scratch.write(sketches.join(classes, (sketches["mark"] == classes["mark"]) & (sketches["doc_id"] == classes["node"])).select("node", "n", "sketch"))
     scratch.drop(sketches, classes)
 
-    banded = nodes.select("node", "sketch").mapInArrow(_bands, "band long, node long")
+    banded = nodes.select("node", "sketch").mapInArrow(_bands(percent), "band long, node long")
     shared = scratch.write(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub"))
     buckets = scratch.write(banded.join(shared, "band"))
     sets = scratch.write(shingle_sets(rows, buckets.select(F.col("node").alias("doc_id")).distinct(), shingle))

@@ -4,11 +4,11 @@ import random
 
 import pytest
 from llm_cases import words
-from test_dedup import near_brute
+from test_dedup import near_brute, shingles
 from test_rest import distance_brute, feasible
 
 import corpus_pipeline
-from metricloom.llm import decontaminate, mixing
+from metricloom.llm import decontaminate, mixing, near_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -104,3 +104,28 @@ def test_run_gives_the_last_stage(spark, stages):
     folder, (*_, placed) = stages
     key = lambda rows: sorted((repr(r["doc_id"]), r["shard"], r["slot"]) for r in rows)
     assert key(corpus_pipeline.run(spark, folder).collect()) == key(placed)
+
+
+DOCUMENT = "doc_id long, text string"
+
+
+def test_near_copies_of_similarity_0_8_go(spark, tmp_path):
+    """Pairs on both sides of 0.8, of them many in [0.80, 0.85)."""
+    rows, left = [], set()
+    for i in range(60):
+        base = words(2000 + i, 84).split()  # 80 shingles; one word replaced costs five of them, each next one one more
+        near = [f"new{i}w{n}" if n in (10, 11, 12, 13, 14)[: i % 6] else w for n, w in enumerate(base)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        left |= {2 * i} if 100 * len(a & b) >= 80 * len(a | b) else {2 * i, 2 * i + 1}
+    similar = [len(shingles(a[1]) & shingles(b[1])) / len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[::2], rows[1::2])]
+    assert sum(0.8 <= s < 0.85 for s in similar) >= 10 and sum(0.7 < s < 0.8 for s in similar) >= 5
+    kept = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, DOCUMENT), "")
+    assert {r["doc_id"] for r in kept.collect()} == left
+
+
+def test_bands_miss_one_pair_in_a_million():
+    assert near_dedup.band_shape(85) == (36, 7)
+    for percent in (70, 80, 85, 90):
+        bands, width = near_dedup.band_shape(percent)
+        assert bands * width <= near_dedup.BUCKETS and (1 - (percent / 100) ** width) ** bands <= near_dedup.MISSED
