@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
 Patterns find parts: identifiers, secrets and endpoints.  Strong parts are reported alone.  Weak ones (a
-short secret, a login name, an address) are reported only when an interval join finds a complementary
+short secret, a key or token in a form that is no secret for sure, a login name, an address) are reported only when an interval join finds a complementary
 part in their scope: at most ``SCOPE`` code points away in the same document.  The join is an equi-join on
 (document, bin of SCOPE code points), so a text full of parts is spread over its bins.
 """
@@ -29,19 +29,35 @@ KINDS = {
     "weak": (ASSIGN, "secret", ("identifier", "endpoint")), "login": (LOGIN, "identifier", ("secret", "digest")),
     "endpoint": (ENDPOINT, "endpoint", ("secret", "identifier")),
 }
+#: Weak secrets beyond those of the SQL: assignments to names that ``assign`` does not know, and bare mixed-case tokens outside all other parts.
+NAMED = (
+    r"""(?i:(?:secret|private|access)[_\x20-]?(?:access[_\x20-]?)?key|pwd|passphrase)"""
+    r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
+)
+BARE = r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
+ADDED = {"named": (NAMED, "secret", ("identifier", "endpoint")), "bare": (BARE, "secret", ("identifier", "endpoint"))}
+ALL_KINDS = KINDS | ADDED
 LONG_VALUE, SHORT_VALUE = 12, 4
 BASE = ("assign", "access", "hex")
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Adds ``hits``: for each pattern that occurs, the lengths of the pieces between its matches, of the matches and of the values."""
-    found = []
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("login", LOGIN), ("endpoint", ENDPOINT)):
-        every = lambda group, p=pattern: F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(group)), F.length)
+    """Adds ``hits``: for each pattern that occurs, the lengths of the pieces between its matches, of the matches and of the values.
+
+    The patterns of ADDED are sought only in texts with an identifier or endpoint, as nothing else completes them.
+    """
+
+    def hit(name: str, pattern: str) -> Column:
+        every = lambda group: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), F.length)
         pieces = F.transform(F.split("text", pattern, -1), F.length)
         zipped = F.arrays_zip(pieces.alias("gap"), every(0).alias("size"), every(2 if name == "assign" else 0).alias("value"))
-        found.append(F.when(F.col("text").rlike(pattern), F.struct(F.lit(name).alias("pattern"), zipped.alias("hits"))))
-    return docs.withColumn("hits", F.array_compact(F.array(*found)))
+        return F.when(F.col("text").rlike(pattern), F.struct(F.lit(name).alias("pattern"), zipped.alias("hits")))
+
+    found = [hit(name, pattern) for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("login", LOGIN), ("endpoint", ENDPOINT))]
+    docs = docs.withColumn("hits", F.array_compact(F.array(*found)))
+    more = F.array_compact(F.array(*[hit(k, ADDED[k][0]) for k in ADDED]))
+    completing = F.exists("hits", lambda h: h["pattern"].isin("access", "login", "endpoint"))
+    return docs.withColumn("hits", F.when(completing, F.concat("hits", more)).otherwise(F.col("hits")))
 
 
 def parts(scans: DataFrame) -> DataFrame:
@@ -55,14 +71,26 @@ def parts(scans: DataFrame) -> DataFrame:
     return placed.where("kind is not null and start is not null")  # the piece after the last hit has no size
 
 
+def bins(a: Column, b: Column) -> Column:
+    return F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE)))
+
+
+def outside_others(found: DataFrame) -> DataFrame:
+    """The parts without the bare tokens that overlap a part of another kind, such as the path of an address."""
+    spread = lambda rows, a, b: rows.select("row", "kind", F.col("start").alias(a), F.col("end").alias(b), bins(F.col("start"), F.col("end")).alias("bin"))
+    bare, other = spread(found.where("kind = 'bare'"), "start", "end"), spread(found.where("kind <> 'bare'"), "s", "e")
+    overlap = (F.col("a.row") == F.col("b.row")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("s") < F.col("a.end")) & (F.col("e") > F.col("a.start"))
+    inside = bare.alias("a").join(other.alias("b"), overlap, "left_semi").select("row", "kind", "start", "end").distinct()
+    return found.join(inside, ["row", "kind", "start", "end"], "left_anti")
+
+
 def completed(found: DataFrame) -> DataFrame:
     """The weak parts that have a complementary part within SCOPE: an interval join by bins."""
-    role = lambda kinds: F.create_map(*[F.lit(x) for k in kinds for x in (k, KINDS[k][1])])[F.col("kind")]
-    weak_kinds = [k for k in KINDS if KINDS[k][2]]
-    needs = F.create_map(*[x for k in weak_kinds for x in (F.lit(k), F.array(*[F.lit(r) for r in KINDS[k][2]]))])
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / SCOPE), F.floor(b / SCOPE)))
+    role = lambda kinds: F.create_map(*[F.lit(x) for k in kinds for x in (k, ALL_KINDS[k][1])])[F.col("kind")]
+    weak_kinds = [k for k in ALL_KINDS if ALL_KINDS[k][2]]
+    needs = F.create_map(*[x for k in weak_kinds for x in (F.lit(k), F.array(*[F.lit(r) for r in ALL_KINDS[k][2]]))])
     weak = found.where(F.col("kind").isin(weak_kinds)).select("row", "kind", "start", "end", bins(F.col("start") - SCOPE, F.col("end") + SCOPE).alias("bin"))
-    other = found.select("row", role(KINDS).alias("role"), F.col("start").alias("s"), F.col("end").alias("e"), bins(F.col("start"), F.col("end")).alias("bin"))
+    other = found.select("row", role(ALL_KINDS).alias("role"), F.col("start").alias("s"), F.col("end").alias("e"), bins(F.col("start"), F.col("end")).alias("bin"))
     near = (F.col("a.row") == F.col("b.row")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("s") <= F.col("a.end") + SCOPE) & (F.col("e") >= F.col("a.start") - SCOPE)
     fits = F.array_contains(needs[F.col("kind")], F.col("role"))
     return weak.alias("a").join(other.alias("b"), near & fits, "left_semi").select("row", "kind", "start", "end").distinct()
@@ -76,10 +104,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(docs[text_col]).alias("text"))
     scans = scratch.write(scanned(rows).drop("text"))
-    found = parts(scans)
-    weak_kinds = [k for k in KINDS if KINDS[k][2]]
+    found = outside_others(parts(scans))
+    weak_kinds = [k for k in ALL_KINDS if ALL_KINDS[k][2]]
     spans = found.where(~F.col("kind").isin(weak_kinds)).unionByName(completed(found))
-    nth = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    nth = F.array_position(F.array(*[F.lit(k) for k in ALL_KINDS]), F.col("kind"))
     spans = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", nth.alias("nth"), "kind", "end"))).alias("spans"))
     return scans.select("doc_id", "row").join(spans, "row", "left").select("doc_id", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
