@@ -3,14 +3,20 @@
 Validated card numbers, phone numbers, social security numbers, IBANs, IPv4 addresses, e-mail names and
 dates are replaced by values of the same format: a keyed permutation of all values of that format (a
 Feistel network over an integer range, walked until it lands inside).  Equal values get equal pseudonyms
-in all documents, and the key takes them back.
+in all documents, however dates and cards are written, and the key takes them back.
+
+At each place of a text the formats are tried in turn; where none validates the search goes on at the next
+character, so a number that fails its check digit hides nothing behind it.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,17 +26,53 @@ from pyspark.sql import functions as F
 from .shared import read_table
 
 ROUNDS = 8
-KINDS = ("email", "iban", "date", "ssn", "ip", "card", "phone")
-EMAIL = r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))"
-NUMBERS = (
-    r"(?P<iban>\b[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[./-]\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?P<card>(?<![\d])\d(?:[\x20-]?\d){12,18}(?!\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{2,4}\)[\x20.-]?\d{3,4}[\x20.-]?\d{3,4}|\d{3}[\x20.-]\d{3}[\x20.-]\d{4})(?!\w)|(?<![\w+])\+\d(?:[\x20.-]?\d){7,13}(?!\w))"
-)
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
+#: Characters permuted together; longer runs are permuted piece by piece.
+PIECE = 64
+#: Formats in the order in which they are tried at a place; only ASCII digits make numbers.
+FORMATS = (
+    ("email", r"(?:(?<![A-Za-z0-9._%+-])(?<![^\x00-\x7F\s]))(?:[A-Za-z0-9._%+-]|[^\x00-\x7F\s])++(?=@(?:[\w-]++\.)+[^\W\d_]{2,})"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
+    ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])"),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"),
+    ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
+    ("card", r"(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}(?![0-9])"),
+    ("card", r"(?<![0-9])[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?![0-9])"),
+    ("card", r"(?<![0-9])[0-9]{4}([\x20-])[0-9]{6}\1[0-9]{4,5}(?![0-9])"),
+    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?!\w)"),
+    ("phone", r"(?<![\w+])\+[0-9](?:[\x20.-]?[0-9]){7,13}(?!\w)"),
+)
+KINDS = tuple(dict.fromkeys(k for k, _ in FORMATS))
+#: Where a value may begin: a sieve before the formats are tried.
+STARTS = r"(?:{})".format("|".join(re.sub(r"\\1", r"[\\x20-]", p) for _, p in FORMATS))
+NUMBER_STARTS = r"(?:{})".format("|".join(re.sub(r"\\1", r"[\\x20-]", p) for k, p in FORMATS if k != "email"))
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+
+
+@functools.lru_cache(4096)
+def alphabet(c: str) -> str:
+    """The characters that may stand for this one: ASCII digits or letters of its case, other letters and digits of its kind within 256 code points."""
+    for kind in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if c in kind:
+            return kind
+    category = unicodedata.category(c)
+    if category[0] not in "LN":
+        return ""
+    first = max(ord(c) & ~0xFF, 0x80)
+    return "".join(x for x in map(chr, range(first, (ord(c) | 0xFF) + 1)) if unicodedata.category(x) == category)
+
+
+def date_class(day: datetime.date) -> tuple[bool, int]:
+    """What a date's spelling shows of it: a month and a day of one or two digits, and whether the day could be a month."""
+    return day.month < 10, 0 if day.day < 10 else 1 if day.day <= 12 else 2
+
+
+@functools.lru_cache(1)
+def dates_by_class() -> dict[tuple[bool, int], list[int]]:
+    out: dict[tuple[bool, int], list[int]] = {}
+    for nth in range(datetime.date(FIRST_YEAR, 1, 1).toordinal(), datetime.date(LAST_YEAR, 12, 31).toordinal() + 1):
+        out.setdefault(date_class(datetime.date.fromordinal(nth)), []).append(nth)
+    return out
 
 
 class Feistel:
@@ -40,8 +82,8 @@ class Feistel:
         self.key = key
 
     def _round(self, tweak: str, nth: int, half: int, bits: int) -> int:
-        said = f"{tweak}|{nth}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(said, key=self.key, digest_size=32).digest(), "big") & ((1 << bits) - 1)
+        said = self.key + f"{tweak}|{nth}|{half}".encode("utf-8", "surrogatepass")
+        return int.from_bytes(hashlib.shake_256(said).digest((bits + 7) // 8), "big") & ((1 << bits) - 1)
 
     def permute(self, x: int, n: int, tweak: str, back: bool = False) -> int:
         bits = max(1, ((n - 1).bit_length() + 1) // 2)
@@ -58,8 +100,10 @@ class Feistel:
                 return x
 
     def characters(self, text: str, tweak: str, back: bool = False) -> str:
-        """Permutes digits among digits and letters among letters of their case; all else stays in place."""
-        kinds = [next((k for k in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in k), "") for c in text]
+        """Permutes digits among digits and letters among letters of their kind; all else stays in place."""
+        if len(text) > PIECE:
+            return "".join(self.characters(text[i : i + PIECE], f"{tweak}|{i}", back) for i in range(0, len(text), PIECE))
+        kinds = [alphabet(c) for c in text]
         size, x = 1, 0
         for c, kind in zip(text, kinds):
             if kind:
@@ -89,13 +133,17 @@ def iban_checks(country: str, account: str) -> str:
 
 
 class Pseudonyms:
+    """Each method takes a value as written and gives its pseudonym, or None if the value isn't valid."""
+
     def __init__(self, key: bytes, back: bool = False):
         self.feistel, self.back = Feistel(key), back
-        self.numbers, self.both = re.compile(NUMBERS), re.compile(EMAIL + "|" + NUMBERS)
+        self.formats = [(kind, re.compile(pattern)) for kind, pattern in FORMATS]
+        self.starts, self.number_starts = re.compile(STARTS), re.compile(NUMBER_STARTS)
         self.digit = re.compile("[0-9]")
 
-    def _refill(self, shown: str, digits: str) -> str:
-        it = iter(digits)
+    @staticmethod
+    def _refill(shown: str, characters: str) -> str:
+        it = iter(characters)
         return "".join(next(it) if c.isalnum() else c for c in shown)
 
     def email(self, shown: str) -> str | None:
@@ -104,30 +152,28 @@ class Pseudonyms:
     def iban(self, shown: str) -> str | None:
         flat = shown.replace(" ", "")
         country, checks, account = flat[:2], flat[2:4], flat[4:]
-        if iban_checks(country, account) != checks:
+        if not 15 <= len(flat) <= 34 or iban_checks(country, account) != checks:
             return None
         account = self.feistel.characters(account, "iban" + country, self.back)
         return self._refill(shown, country + iban_checks(country, account) + account)
 
     def date(self, shown: str) -> str | None:
-        parts = re.split(r"[-/.]", shown)
-        orders = [(0, 1, 2)] if "-" in shown else [(2, 0, 1), (2, 1, 0)] if "/" in shown else [(2, 1, 0)]
-        for y, m, d in orders:  # with slashes the month comes first where that is a date
+        """The day is permuted among those that are written alike, whatever the format; it then fits the widths and the order that it was read in."""
+        sign = next(c for c in shown if not c.isdigit())
+        parts = shown.split(sign)
+        for y, m, d in {"-": [(0, 1, 2)], "/": [(2, 0, 1), (2, 1, 0)], ".": [(2, 1, 0)]}[sign]:  # with slashes the month comes first where that is a date
             try:
-                nth = datetime.date(int(parts[y]), int(parts[m]), int(parts[d])).toordinal() - FIRST_DAY
+                day = datetime.date(int(parts[y]), int(parts[m]), int(parts[d]))
             except ValueError:
                 continue
-            if not 0 <= nth < DAYS:
+            if not FIRST_YEAR <= day.year <= LAST_YEAR:
                 return None
-            swapped = len(orders) == 2 and (y, m, d) == orders[1]
-            short_month, short_day = len(parts[m]) == 1, len(parts[d]) == 1
-            while True:  # walks on until the date has the same widths and reads in the same order
-                nth = self.feistel.permute(nth, DAYS, "date", self.back)
-                new = datetime.date.fromordinal(nth + FIRST_DAY)
-                if not (short_month and new.month > 9 or short_day and new.day > 9 or swapped and new.day <= 12):
-                    break
-            parts[y], parts[m], parts[d] = str(new.year), f"{new.month:0{len(parts[m])}d}", f"{new.day:0{len(parts[d])}d}"
-            return ("-" if "-" in shown else "/" if "/" in shown else ".").join(parts)
+            alike = dates_by_class()[date_class(day)]
+            nth = self.feistel.permute(bisect.bisect_left(alike, day.toordinal()), len(alike), f"date|{date_class(day)}", self.back)
+            new = datetime.date.fromordinal(alike[nth])
+            for at, number in ((y, new.year), (m, new.month), (d, new.day)):
+                parts[at] = str(number).zfill(len(parts[at]))
+            return sign.join(parts)
         return None
 
     def ssn(self, shown: str) -> str | None:
@@ -149,40 +195,55 @@ class Pseudonyms:
 
     def card(self, shown: str) -> str | None:
         digits = re.sub(r"[^0-9]", "", shown)
-        if luhn_digit(digits[:-1]) != digits[-1] or not digits.strip("0"):
+        if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or not digits.strip("0"):
             return None
         payload = self.feistel.characters(digits[:-1], "card", self.back)
         return self._refill(shown, payload + luhn_digit(payload))
 
     def phone(self, shown: str) -> str | None:
-        prefix = re.match(r"\+\d{1,3}(?=[\x20.(-])[\x20.-]?", shown)
+        prefix = re.match(r"\+[0-9]{1,3}(?=[\x20.(-])[\x20.-]?", shown)
         prefix, rest = (shown[: prefix.end()], shown[prefix.end() :]) if prefix else ("", shown)
         digits = re.sub(r"[^0-9]", "", rest)
         return prefix + self._refill(rest, self.feistel.characters(digits, "phone", self.back))
 
+    def _at(self, text: str, at: int) -> tuple[str, int, str] | None:
+        for kind, pattern in self.formats:
+            if not (match := pattern.match(text, at)):
+                continue
+            shown, new = match[0], getattr(self, kind)(match[0])
+            while new is None and kind == "iban" and " " in shown:  # the last groups may not belong to it
+                shown = shown.rpartition(" ")[0]
+                new = self.iban(shown)
+            if new is not None:
+                return kind, at + len(shown), new
+        return None
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and how many of each kind."""
         counts: dict[str, int] = {}
-
-        def one(match: re.Match) -> str:
-            kind = match.lastgroup
-            new = getattr(self, kind)(match[0])
-            if new is None:
-                return match[0]
+        starts = self.starts if "@" in text else self.number_starts if self.digit.search(text) else None
+        if starts is None:
+            return text, counts
+        out, done, at = [], 0, 0
+        while match := starts.search(text, at):
+            found = self._at(text, match.start())
+            if found is None:
+                at = match.start() + 1
+                continue
+            kind, at, new = found
+            out += [text[done : match.start()], new]
+            done = at
             counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        if "@" in text:
-            text = self.both.sub(one, text)
-        elif self.digit.search(text):
-            text = self.numbers.sub(one, text)
-        return text, counts
+        return "".join([*out, text[done:]]), counts
 
 
 def pseudonymised(text: Column, key: str, back: bool = False) -> Column:
     """A struct of the text with pseudonyms and n_<kind> counts; null stays null, with counts of 0.
 
-    ``back`` restores the original text.
+    ``back`` restores the original text, unless a pseudonym and digits beside it happen to make up another
+    valid number.  Rows are independent: repeated rows get equal results, an empty table none.  Whole texts
+    of any length are searched, in time linear in their length but for runs of digits that fail their
+    checks; names of more than ``PIECE`` characters are permuted piece by piece.  Other columns play no part.
     """
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
 
