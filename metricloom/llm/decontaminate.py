@@ -3,7 +3,8 @@
 A test item of m characters with a budget of k edits is split into k + 1 pieces: a passage within k edits
 of the item holds at least one piece unchanged.  An Aho-Corasick automaton finds exact piece hits in whole
 texts, hits on neighbouring diagonals become one window, and Myers' bit-parallel algorithm gives the
-smallest edit distance of the item to any passage in the window.
+smallest edit distance of the item to any passage in the window.  Items of any length take part.  Where
+the budget leaves pieces too short to tell anything, the whole text is the window.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, read_table
 
-#: Edits allowed for each character of an item; least length of a piece, and of an item.
-ERROR_RATE, LEAST_PIECE, LEAST_ITEM = 0.06, 12, 16
+#: Edits allowed for each character of an item.
+ERROR_RATE = 0.06
+#: Items whose pieces would be shorter are compared with whole texts instead.
+LEAST_PIECE = 3
 #: Items are searched for in blocks of so many characters, so that no automaton or closure outgrows a task.
 BLOCK_CHARS, BLOCKS_AT_ONCE = 400_000, 4
 HITS = "array<struct<item_id: bigint, distance: int, budget: int, start: int, end: int>>"
@@ -30,7 +33,13 @@ def normalised(text: str) -> str:
 
 
 def budget(length: int, rate: float = ERROR_RATE) -> int:
-    return max(0, min(int(length * rate), length // LEAST_PIECE - 1))
+    return int(length * rate + 1e-9)
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether the passage is not cut out of longer words."""
+    inside = lambda i: text[i - 1].isalnum() and text[i].isalnum()
+    return not (start > 0 and inside(start)) and not (end < len(text) and inside(end))
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -76,8 +85,12 @@ class Searcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(i, t, budget(len(t), rate)) for i, t in items]
         self.masks: dict[int, dict[str, int]] = {}
+        self.unsplit: set[int] = set()
         found: dict[str, list[tuple[int, int]]] = {}
         for nth, (_, text, edits) in enumerate(self.items):
+            if edits and len(text) // (edits + 1) < LEAST_PIECE:
+                self.unsplit.add(nth)
+                continue
             for offset, piece in pieces(text, edits):
                 found.setdefault(piece, []).append((nth, offset))
         self.automaton = ahocorasick.Automaton()
@@ -87,18 +100,25 @@ class Searcher:
             self.automaton.make_automaton()
 
     def hits(self, raw: str) -> list[tuple[int, int, int, int, int]]:
-        """The nearest passage of every item within its budget: (item id, distance, budget, start, end) in the normalised text."""
+        """The nearest passage of every item within its budget: (item id, distance, budget, start, end) in the normalised text.
+
+        Of equally near ones the first; items without a budget count only as whole words.
+        """
         text = normalised(raw)
-        diagonals: dict[int, set[int]] = {}
+        diagonals: dict[int, set[int]] = {nth: set() for nth in self.unsplit} if text else {}
         for last, (length, places) in self.automaton.iter(text) if len(self.automaton) else ():
             for nth, offset in places:
                 diagonals.setdefault(nth, set()).add(last + 1 - length - offset)
         out = []
         for nth, found in sorted(diagonals.items()):
             item_id, item, edits = self.items[nth]
+            if not edits:
+                start = next((d for d in sorted(found) if whole_words(text, d, d + len(item))), None)
+                out += [(item_id, 0, 0, start, start + len(item))] if start is not None else []
+                continue
             masks = self.masks.get(nth) or self.masks.setdefault(nth, char_masks(item))
             best = None
-            for lo, hi in self._windows(sorted(found), edits):
+            for lo, hi in [(0, len(text))] if nth in self.unsplit else self._windows(sorted(found), edits):
                 a = max(0, lo - edits)
                 distance, end = closest_end(item, text[a : hi + len(item) + edits], masks)
                 if distance <= edits and (best is None or distance < best[0]):
@@ -123,11 +143,11 @@ class Searcher:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """Normalised items in blocks of BLOCK_CHARS; null and very short items hold nothing to search for."""
+    """Normalised items in blocks of BLOCK_CHARS; null and blank items hold nothing to search for."""
     block, chars = [], 0
     for row in benchmark.select(F.col(id_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         text = normalised(row[1])
-        if len(text) < LEAST_ITEM:
+        if not text:
             continue
         if block and chars + len(text) > BLOCK_CHARS:
             yield block
@@ -164,9 +184,11 @@ def _passes(benchmark: DataFrame) -> Iterator[list[list[tuple[int, str]]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (doc_id, item_id, distance, budget, start, end) for each document and item of which it holds a passage within the budget.
 
-    Null and empty texts have no hits, nor has anything when the benchmark is empty.  Items of under
-    LEAST_ITEM characters are left out; repeated items are reported each under its id, and so are rows that
-    repeat a document's.  A large benchmark takes several passes over the documents.
+    Null and empty texts have no hits, nor has anything when either table is empty.  Items of any length
+    are sought; those too short for an edit (under 17 characters at the default rate) count only as whole
+    words.  Of equally near passages the first is reported.  Repeated items are reported each under its id,
+    and so are rows that repeat a document's.  Texts of any length are searched whole.  Other columns play
+    no part, whatever their names.  A large benchmark takes several passes over the documents.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
@@ -177,7 +199,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
-    """The documents that hold no item; between passes they are written to the shared folder."""
+    """The documents that hold no item, with all their columns; between passes they are written to the shared folder.
+
+    Rows with null and empty texts stay, repeated rows stay or go together, an empty benchmark drops none.
+    Items of any length count, those too short for an edit as whole words only; texts of any length are searched whole.
+    """
     scratch, passes = Scratch(docs.sparkSession, "decontaminate"), 0
     for blocks in _passes(benchmark):
         docs = scratch.write(docs) if passes else docs
