@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import read_table
 
-#: N-grams in a profile; labelled rows that a language's profile is learned from (on average, drawn by a
-#: hash of the id); languages learned, most frequent first.
-PROFILE, SAMPLE, LANGUAGES = 400, 2_000, 500
+#: N-grams in a profile; labelled rows that a language's profile is learned from (on average, drawn by a hash of the id).
+PROFILE, SAMPLE = 400, 2_000
 UNKNOWN = "und"
 
 
@@ -73,18 +72,24 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, size: int = PROFILE) -> dict[str, list[int]]:
-    """Language -> n-grams by rank, from about ``sample`` rows of each language."""
+    """Language -> n-grams by rank, from about ``sample`` rows of each language.
+
+    Every language that any row names is learned.  Rows with a null label or text teach nothing; repeated
+    rows count each.  Equally frequent n-grams rank by their characters.  An empty table gives no profile.
+    The driver holds ``size`` numbers for each language, as does every task that predicts.
+    """
+    spark = labelled.sparkSession
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # one row for each language
     if not counts:
         return {}
+    shares = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "lang string, share double"))  # less than the profiles
     drawn = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
-    grams = rows.where(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text").mapInArrow(_gram_counts, "lang string, gram long, n long")
+    grams = rows.join(shares, "lang").where(drawn < F.col("share")).select("lang", "text").mapInArrow(_gram_counts, "lang string, gram long, n long")
     ranked = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     profiles: dict[str, list[int]] = {}
-    for row in ranked.orderBy("lang", "rank").select("lang", "gram").collect():  # at most LANGUAGES * size rows
+    for row in ranked.orderBy("lang", "rank").select("lang", "gram").collect():  # languages * size rows
         profiles.setdefault(row["lang"], []).append(row["gram"])
     return profiles
 
@@ -128,12 +133,18 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
-    """The documents with a struct column ``language`` (lang, score); all rows and columns stay.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", out_col: str = "language") -> DataFrame:
+    """The documents with one more column, a struct of lang and score; all rows and columns stay.
 
-    Null, empty and letterless texts are ``und``; so are all texts when no profile was learned.
+    The column is named ``out_col``, with as many underscores added as it takes to differ from the columns
+    that are there (names differ in more than case).  Null, empty and letterless texts are ``und``; so are
+    all texts when no profile was learned.  Texts of any length are read whole, repeated rows get equal
+    results, an empty table stays empty.
     """
-    return docs.withColumn("language", predicted(F.col(text_col), profiles))
+    taken = {c.lower() for c in docs.columns}
+    while out_col.lower() in taken:
+        out_col += "_"
+    return docs.withColumn(out_col, predicted(docs[text_col], profiles))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

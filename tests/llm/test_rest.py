@@ -31,11 +31,11 @@ def test_languages_of_held_out_documents(spark):
 
 def test_language_of_odd_rows(spark, odd, empty):
     profiles = {"x": [language_id.Ngrams().top("one two", 50).tolist()][0], "y": language_id.Ngrams().top("zz qq", 50).tolist()}
-    found = {r["text"]: r["language"] for r in language_id.identify(odd, profiles).collect()}
-    assert len(odd.columns) == len(language_id.identify(odd, profiles).columns)  # its own "language" is replaced
+    found = {r["text"]: r["language_"] for r in language_id.identify(odd, profiles).collect()}
+    assert language_id.identify(odd, profiles).columns == [*odd.columns, "language_"] and {r["language"] for r in language_id.identify(odd, profiles).collect()} == {"l"}
     assert found[None]["lang"] == found[""]["lang"] == found[" \n\t "]["lang"] == "und" and found[None]["score"] == 0
     assert found["one two"]["lang"] == "x" and found["one two"]["score"] == 1.0
-    assert {r["language"]["lang"] for r in language_id.identify(odd, {}).collect()} == {"und"}
+    assert {r["language_"]["lang"] for r in language_id.identify(odd, {}).collect()} == {"und"}
     assert language_id.learn_profiles(empty) == {} and language_id.learn_profiles(odd) == {}
     assert language_id.identify(empty, profiles).count() == 0
 
@@ -47,6 +47,62 @@ def test_profiles_rank_by_frequency():
     assert len(language_id.Ngrams().top("1234 ... ", 10)) == 0
 
 
+def grams_brute(text):
+    """Letter n-grams of up to three characters, words padded by one blank on each side (shared between words), and how often each occurs."""
+    import unicodedata
+    from collections import Counter
+
+    spaced = "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower())
+    line = " " + " ".join(spaced.split()) + " "
+    if not line.strip():
+        return Counter()
+    return Counter(g for n in (1, 2, 3) for i in range(len(line) - n + 1) if (g := line[i : i + n]) != " " and not (n == 3 and g[1] == " "))
+
+
+def ranked_brute(counts, size):
+    code = lambda g: tuple(ord(c) + 1 if c != " " else 1 for c in g)
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), code(x[0])))[:size]]
+
+
+def language_brute(text, profiles, size):
+    doc = ranked_brute(grams_brute(text or ""), size)
+    if not doc or not profiles:
+        return "und", 0.0
+    place = {k: {g: i for i, g in enumerate(p)} for k, p in profiles.items()}
+    far = {k: sum(abs(place[k][g] - i) if g in place[k] else size for i, g in enumerate(doc)) for k in profiles}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (size * len(doc))
+
+
+def test_language_id_against_brute_force(spark):
+    """Every labelled row teaches, as no language has more than the sample."""
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()] + [(10_001, "Ünïcode ß 漢字かな", "ja"), (10_002, "123 !?", "en"), (10_003, None, "en"), (10_004, "a-b c", None)]
+    size, taught = 150, {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            taught.setdefault(lang, Counter()).update(grams_brute(text))
+    expected = {k: ranked_brute(c, size) for k, c in taught.items()}
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn_profiles(table.where(~language_id.held_out("doc_id", 4, 2)), size=size)
+    spelled = lambda g: "".join(" " if x == 1 else chr(x - 1) for x in (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF) if x)
+    assert {k: [spelled(g) for g in p] for k, p in profiles.items()} == expected
+    out = table.select("doc_id", language_id.predicted(F.col("text"), profiles, size).alias("p")).select("doc_id", "p.*").collect()
+    for r in out:
+        lang, score = language_brute(next(t for i, t, _ in rows if i == r["doc_id"]), expected, size)
+        assert (r["lang"], round(r["score"], 12)) == (lang, round(score, 12))
+
+
+def test_more_than_500_languages(spark):
+    rows = [(i, " ".join(chr(0x4E00 + 3 * i + k) * 2 for k in range(3)), f"x{i:03d}") for i in range(620)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.learn_profiles(table)
+    assert len(profiles) == 620
+    assert all(r["lang"] == r["language"]["lang"] for r in language_id.identify(table, profiles).collect())
+
+
 # Pseudonyms
 
 
