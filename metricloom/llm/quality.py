@@ -4,6 +4,9 @@ Tokens are a word's letters and its shape (case and punctuation), both hashed to
 Every token has a sparse random index vector; a token's word vector is the sum of the index vectors around
 it in the training texts.  A document is the mean and spread of its tokens' vectors.  A network with one
 hidden layer scores it, and a temperature fitted on rows left out of training calibrates the probability.
+
+Texts stay on the executors: the driver collects sums of index vectors (one row of ``DIMENSIONS`` whole
+numbers for each of at most ``VOCABULARY`` tokens) and one row of features for each training document.
 """
 
 from __future__ import annotations
@@ -12,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .shared import read_table
+from .shared import Scratch, read_table
 
 #: Labelled rows that the classifier is fitted on (on average, drawn by a hash of the id).
 SAMPLE = 3_000
@@ -34,8 +38,8 @@ class Tokens(dict):
         core = "".join(c for c in word if c.isalpha())
         shape = "A" if core.isupper() and len(core) > 1 else "Aa" if core[:1].isupper() else "a" if core else ""
         shape += "9" if any(c.isdigit() for c in word) else ""
-        shape += "".join(c for c in word if not c.isalnum())[:8]
-        rows = [xxhash.xxh3_64_intdigest(x) % VOCABULARY for x in ("w" + core.lower(), "s" + shape)]
+        shape += "".join(c for c in word if not c.isalnum())
+        rows = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % VOCABULARY for x in ("w" + core.lower(), "s" + shape)]
         if len(self) > 300_000:
             self.clear()
         value = self[word] = rows[0] << 32 | rows[1]
@@ -48,34 +52,57 @@ class Tokens(dict):
 
 
 def index_vectors() -> np.ndarray:
+    """Whole numbers: NONZERO random places of each row are raised or lowered by one."""
     order = np.random.Generator(np.random.PCG64(11))
-    out = np.zeros((VOCABULARY, DIMENSIONS), np.float32)
+    out = np.zeros((VOCABULARY, DIMENSIONS), np.int64)
     for i in range(NONZERO):
         out[np.arange(VOCABULARY), order.integers(0, DIMENSIONS, VOCABULARY)] += 1 - 2 * (i % 2)
     return out
 
 
-def word_vectors(texts: list[str]) -> np.ndarray:
-    tokens, index = Tokens(), index_vectors()
-    vectors = index.copy()
+class Neighbours:
+    """Sums of the index vectors of all tokens within REACH places of each token."""
+
+    def __init__(self):
+        self.tokens, self.index = Tokens(), index_vectors()
+        self.sums = np.zeros((VOCABULARY, DIMENSIONS), np.int64)
 
-    def add(centres: np.ndarray, others: np.ndarray) -> None:
+    def _add(self, centres: np.ndarray, others: np.ndarray) -> None:
         pairs, counts = np.unique(centres * VOCABULARY + others, return_counts=True)
-        for i in range(0, len(pairs), 200_000):
-            rows, others = np.divmod(pairs[i : i + 200_000], VOCABULARY)
+        for i in range(0, len(pairs), POOLED):
+            rows, near = np.divmod(pairs[i : i + POOLED], VOCABULARY)
             heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-            vectors[rows[heads]] += np.add.reduceat(index[others] * counts[i : i + 200_000, None].astype(np.float32), heads)
+            self.sums[rows[heads]] += np.add.reduceat(self.index[near] * counts[i : i + POOLED, None], heads)
 
-    for i in range(0, len(texts), 200):
-        cores, shapes = zip(*[tokens.rows(t) for t in texts[i : i + 200]])
+    def add(self, texts: list[str]) -> None:
+        cores, shapes = zip(*[self.tokens.rows(t) for t in texts])
         for step in range(1, REACH + 1):
             for kinds in (cores, shapes):
                 left = np.concatenate([r[:-step] for r in kinds if len(r) > step] or [np.zeros(0, np.int64)])
                 right = np.concatenate([r[step:] for r in kinds if len(r) > step] or [np.zeros(0, np.int64)])
                 if len(left):
-                    add(left, right)
-                    add(right, left)
-    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+                    self._add(left, right)
+                    self._add(right, left)
+
+
+def _neighbour_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = Neighbours()
+    for batch in batches:
+        for i in range(0, batch.num_rows, 100):
+            found.add(batch.column(0).slice(i, 100).to_pylist())
+    used = np.flatnonzero(found.sums.any(axis=1))
+    sums = pa.FixedSizeListArray.from_arrays(pa.array(found.sums[used].ravel()), DIMENSIONS).cast(pa.list_(pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(used), sums], ["token", "sums"])
+
+
+def word_vectors(texts: DataFrame) -> np.ndarray:
+    """Unit vectors of all tokens from a table with one column of texts; the sums are whole numbers, so their order changes nothing."""
+    partial = texts.mapInArrow(_neighbour_sums, "token long, sums array<long>")
+    total = partial.groupBy("token").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(DIMENSIONS)]).alias("sums"))
+    vectors = index_vectors().astype(np.float64)
+    for row in total.collect():  # at most VOCABULARY rows
+        vectors[row["token"]] += row["sums"]
+    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def features(text: str | None, tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
@@ -149,29 +176,47 @@ class Constant:
         return np.full(len(x), self.value)
 
 
+def _features(vectors: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            x = [features(t, tokens, vectors).tolist() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "label", "x"])
+
+    return run
+
+
 def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE):
-    """(word vectors, network) fitted on about ``sample`` labelled documents; null labels and ids are left out."""
-    spark = docs.sparkSession
+    """(word vectors, network) fitted on about ``sample`` labelled documents, drawn by a hash of the id.
+
+    Null labels and ids are left out, null texts count as empty.  Of rows that share an id the greatest label
+    and the least text count, so repeated rows change nothing.  Texts may be of any length.  Empty tables, or
+    labels of one value, give a constant score.  Other columns are ignored, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     n = labels.count()
     drawn = labels.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("quality")), F.lit(max(n, 1))) < sample) if n > sample else labels
-    chosen = [(r["id"], r["label"]) for r in drawn.orderBy("id").collect()]  # about ``sample`` ids
-    if not chosen:
-        return index_vectors(), Constant(0.5)
-    picked = spark.createDataFrame(chosen, "id long, label double")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").orderBy("id").collect()
-    if not rows:
-        return index_vectors(), Constant(0.5)
-    texts = [r["text"] or "" for r in rows]
-    vectors, tokens = word_vectors(texts), Tokens()
-    y = np.array([float(r["label"] >= 1) for r in rows])
+    drawn = F.broadcast(scratch.write(drawn))  # about ``sample`` rows
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(drawn, "id")
+    rows = scratch.write(rows.groupBy("id", "label").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")))
+    vectors = word_vectors(rows.select("text"))
+    found = sorted(rows.mapInArrow(_features(vectors), rows.drop("text").schema.simpleString()[7:-1].replace(":", " ") + ", x array<double>").collect())  # about ``sample`` rows of fixed size
+    scratch.close()
+    if not found:
+        return vectors, Constant(0.5)
+    y = np.array([float(r["label"] >= 1) for r in found])
     if len(set(y)) < 2:
         return vectors, Constant(float(y.mean()))
-    return vectors, Network().fit(np.array([features(t, tokens, vectors) for t in texts]), y)
+    return vectors, Network().fit(np.array([r["x"] for r in found]), y)
 
 
 def scored(text: Column, model) -> Column:
-    """The probability of label 1 for every whole text; null and empty texts are scored as texts of no words."""
+    """The probability of label 1 for every whole text; null and empty texts are scored as texts of no words.
+
+    Equal texts get equal scores; texts of any length are pooled whole, ``POOLED`` words at a time; an empty
+    table gives no scores, and other columns play no part.
+    """
     vectors, network = model
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

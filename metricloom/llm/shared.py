@@ -5,7 +5,12 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +23,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _OWN_FOLDERS: list[str] = []
+#: Lists that collect the scratch folders opened while they are on the stack.
+_OPENED: ContextVar[tuple[list, ...]] = ContextVar("opened", default=())
+_CLEANUP_LOCK, _CLEANING = threading.Lock(), Counter()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private folder only in local mode."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where the setting is missing, as in tests, it is set to a private folder; only a local master may do so.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -30,36 +41,72 @@ def scratch_root(spark: SparkSession) -> str:
     if not _OWN_FOLDERS:
         _OWN_FOLDERS.append(tempfile.mkdtemp(prefix="llm-scratch-"))
         atexit.register(shutil.rmtree, _OWN_FOLDERS[0], ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", "file://" + _OWN_FOLDERS[0])
     return "file://" + _OWN_FOLDERS[0]
 
 
+@contextmanager
+def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside remove their shuffle files when they end; nested and concurrent uses in one session share the setting."""
+    key = spark._jsparkSession.sessionUUID()
+    with _CLEANUP_LOCK:
+        _CLEANING[key] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _CLEANUP_LOCK:
+            _CLEANING[key] -= 1
+            if not _CLEANING[key]:
+                spark.conf.unset(CLEANUP)
+
+
+@contextmanager
+def opened_scratch() -> Iterator[list[Scratch]]:
+    """Collects the scratch folders that operators open inside, for a caller who writes their results and then closes them."""
+    made: list[Scratch] = []
+    token = _OPENED.set((*_OPENED.get(), made))
+    try:
+        yield made
+    finally:
+        _OPENED.reset(token)
+
+
 class Scratch:
-    """Intermediate Parquet tables in the shared folder: they cut lineage and survive lost executors."""
+    """Intermediate Parquet tables in the shared folder: they cut lineage and survive lost executors.
+
+    An operator's result may still read some of them; who has written the result closes them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        for made in _OPENED.get():
+            made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.count += 1
-        path, conf = f"{self.base}/{self.count}", self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")  # the table replaces the shuffle files that it was made from
-        try:
+        path = f"{self.base}/{self.count}"
+        with shuffle_files_removed(self.spark):  # the table replaces the shuffle files that it was made from
             df.write.parquet(path)
-        finally:
-            conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(conf).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that later tables no longer need."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(table._scratch_path)
+
+    def close(self) -> None:
+        """Deletes all of its tables."""
+        self._delete(self.base)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -124,6 +124,63 @@ def test_near_copies_of_similarity_0_8_go(spark, tmp_path):
     assert {r["doc_id"] for r in kept.collect()} == left
 
 
+def clashing(spark, rows):
+    """Documents with columns called as the stages might call theirs."""
+    extra = ("_copies", "_copy", "_nth", "_language", "copies", "copy", "nth", "language", "row", "shard", "Slot", "shard_", "key", "size", "band", "node", "at", "component_id", "kept")
+    typed = f"{COLUMNS}, " + ", ".join(f"`{c}` string" for c in extra)
+    return spark.createDataFrame([(*r, *extra) for r in rows], typed), extra
+
+
+LONG = " ".join(f"{words(s, 2_000)}" for s in range(3000, 3020))
+ODD = [
+    (1, words(1, 30), "xx", "s1", 1), (1, words(1, 30), "xx", "s1", 1), (2, words(1, 30), None, None, None), (3, None, "xx", "s1", 0), (4, "", None, "s2", 0), (5, " \n ", "xx", "s1", 0), (6, LONG, "xx", "s2", 9),
+    (None, words(1, 30), "xx", "s1", 1), (None, None, None, None, None), (7, LONG + " more", "xx", "s2", 9), (8, "12 34", "xx", "s1", 2), (9, "short", "xx", None, 1),
+]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path, name, stage):
+    spark.createDataFrame([(1, words(77, 30)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, extra = clashing(spark, ODD)
+    out = stage(spark, docs, str(tmp_path))
+    rows = out.collect()
+    if name == "sharding":
+        assert out.columns[:5] == docs.columns[:5] and out.columns[-2:] == ["shard", "slot"] and len(out.columns) == len(docs.columns) + 2 == len({c.lower() for c in out.columns})
+        assert {r["shard__"] for r in rows} == {"shard"} and {r["Slot_"] for r in rows} == {"Slot"} and {r["shard_"] for r in rows} == {"shard_"}
+    else:
+        assert out.columns == docs.columns and all(r[c] == c for r in rows for c in extra)
+    kept = sorted(((r["doc_id"], r["text"]) for r in rows), key=repr)
+    whole = [r[:2] for r in ODD]
+    expected = {
+        "language_id": [r for r in whole if any(c.isalpha() for c in r[1] or "")],
+        "near_dedup": [(1, words(1, 30)), (3, None), (4, ""), (5, " \n "), (6, LONG), (None, words(1, 30)), (None, None), (8, "12 34"), (9, "short")],
+        "decontamination": whole, "sharding": whole,
+    }
+    if name in expected:
+        assert kept == sorted(expected[name], key=repr)
+    else:
+        assert set(kept) <= set(whole) and kept
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_an_empty_table(spark, tmp_path, name, stage):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = stage(spark, spark.createDataFrame([], COLUMNS), str(tmp_path))
+    assert out.collect() == [] and [c for c in out.columns if c not in ("shard", "slot")] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_run_leaves_only_its_result_behind(spark, stages):
+    import os
+
+    from metricloom.llm.shared import scratch_root
+
+    folder, root = stages[0], scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, folder)
+    left = set(os.listdir(root)) - before
+    assert len(left) == 1 and len([x for x in os.listdir(f"{root}/{left.pop()}") if not x.startswith(".")]) == 1 and out.count() > 0
+
+
 def test_bands_miss_one_pair_in_a_million():
     assert near_dedup.band_shape(85) == (36, 7)
     for percent in (70, 80, 85, 90):

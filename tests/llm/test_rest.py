@@ -556,6 +556,83 @@ def test_quality_of_held_out_documents(spark):
     assert out.count() == 1000 and out.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def tokens_brute(word):
+    """(letters' row, shape's row) of a word, from its description."""
+    import xxhash
+
+    letters = [c for c in word if c.isalpha()]
+    case = "" if not letters else "A" if len(letters) > 1 and all(c.upper() == c and c.lower() != c for c in letters) else "Aa" if letters[0].isupper() else "a"
+    shape = case + ("9" if re.search(r"\d", word) else "") + re.sub(r"[^\W_]", "", word)
+    return xxhash.xxh3_64(("w" + "".join(letters).lower()).encode()).intdigest() % 2**14, xxhash.xxh3_64(("s" + shape).encode()).intdigest() % 2**14
+
+
+def vectors_brute(texts):
+    """Each token's index vector and those of all tokens one or two places from it, to length one."""
+    order, index = np.random.Generator(np.random.PCG64(11)), [[0] * 48 for _ in range(2**14)]
+    for i in range(6):
+        for row, at in enumerate(order.integers(0, 48, 2**14)):
+            index[row][at] += (1, -1)[i % 2]
+    out = [list(map(float, r)) for r in index]
+    for text in texts:
+        words = [tokens_brute(w) for w in text.split()]
+        for kind in (0, 1):
+            for i in range(len(words)):
+                for j in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= j < len(words):
+                        mine = out[words[i][kind]]
+                        for k, v in enumerate(index[words[j][kind]]):
+                            mine[k] += v
+    lengths = [max(sum(v * v for v in r) ** 0.5, 1e-9) for r in out]
+    return [[v / n for v in r] for r, n in zip(out, lengths)]
+
+
+def score_brute(text, vectors, network):
+    words, x = [tokens_brute(w) for w in (text or "").split()], []
+    n = max(len(words), 1)
+    for kind in (0, 1):
+        rows = [vectors[w[kind]] for w in words]
+        mean = [sum(r[k] for r in rows) / n for k in range(48)]
+        x += mean + [max(sum(r[k] ** 2 for r in rows) / n - mean[k] ** 2, 0) ** 0.5 for k in range(48)] + [len({w[kind] for w in words}) / n]
+    x.append(np.log(1 + len(words)))
+    z = [min(max((v - m) / s, -8), 8) for v, m, s in zip(x, network.mean, network.scale)]
+    hidden = [np.tanh(sum(v * w for v, w in zip(z, column)) + b) for column, b in zip(network.w1.T, network.b1)]
+    logit = (sum(h * w for h, w in zip(hidden, network.w2)) + network.b2[0]) / network.temperature
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POOLED", 13)
+    good = [(i, f"The {words(i, 12)}, and Then {words(i + 1, 8)}. It was 19{i}!") for i in range(30)]
+    bad = [(100 + i, f"BUY {words(i, 5).upper()} !!!!!!!!!!!! {words(i, 3)} $$$ http://x.y/{i}") for i in range(30)]
+    odd_ones = [(200, None), (201, ""), (202, "é"), (5, "second text of an id"), (None, "no id")]
+    docs = make_docs(spark, [*good, *bad, *odd_ones]).repartition(5)
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(200, 0), (201, 0), (5, 0)], "doc_id long, quality int")
+    vectors, network = quality.learn_quality(docs, labels)
+    least = dict(sorted([*good, *bad, (200, ""), (201, ""), (5, "second text of an id")], key=lambda x: (x[0], x[1]), reverse=True))
+    expected = vectors_brute(least.values())
+    assert np.allclose(vectors, expected, atol=1e-6)
+    again = quality.learn_quality(docs.repartition(2), labels.union(labels))
+    for r in docs.select("doc_id", "text", quality.scored(F.col("text"), (vectors, network)).alias("s"), quality.scored(F.col("text"), again).alias("t")).collect():
+        assert abs(r["s"] - score_brute(r["text"], vectors.astype(float), network)) < 1e-9 and abs(r["s"] - r["t"]) < 1e-9
+
+
+def test_a_networks_fit_separates_and_calibrates():
+    draw = np.random.Generator(np.random.PCG64(1))
+    x = draw.normal(0, 1, (800, 5))
+    y = (draw.random(800) < 1 / (1 + np.exp(-3 * x[:, 0] * x[:, 1]))).astype(float)
+    network = quality.Network().fit(x, y)
+    s = network.scores(x)
+    assert ((s > 0.5) == (y > 0.5)).mean() > 0.75
+    for lo in (0.1, 0.3, 0.5, 0.7):
+        inside = (s > lo) & (s <= lo + 0.2)
+        assert inside.sum() < 20 or abs(y[inside].mean() - s[inside].mean()) < 0.15
+
+
+def test_whole_shapes_tell_words_apart():
+    tokens = quality.Tokens()
+    assert tokens["a!!!!!!!!!"] & 0xFFFFFFFF != tokens["a!!!!!!!!!!?"] & 0xFFFFFFFF
+
+
 def test_quality_without_anything_to_learn(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.learn_quality(odd, none)
