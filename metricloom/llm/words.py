@@ -25,6 +25,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class WordPairs(dict):
+    """word bytes -> its 128-bit hash, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh3_128_digest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Two rows of 64-bit halves."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2).T
+
+
 class Windows:
     """Rabin-Karp hashes of all windows of ``size`` consecutive words.
 

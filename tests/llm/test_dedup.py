@@ -178,10 +178,31 @@ def test_ids_too_far_apart_to_share_a_number_with_places(spark):
     rows = [(i * 7 - far if i % 2 else far - i, f"{words(i % 9, 25)} {words(i, 12)} {words(i % 9, 25)}") for i in range(40)]
     docs = make_docs(spark, rows)
     typed = docs.select("doc_id", docs["text"].cast("binary").alias("text"))
-    assert substring_dedup.layout_for(typed).bits is None and substring_dedup.layout_for(typed.where("doc_id > 0")).bits
+    assert substring_dedup.layout_for(typed).bits is None and substring_dedup.layout_for(typed.where("doc_id < 0 and doc_id > -1000")).bits
     assert order(tuple(r) for r in substring_dedup.substring_dedup(docs).collect()) == order(substring_brute(rows, 20))
 
 
+@pytest.mark.parametrize("size", (1, 2, 3, 20))
+def test_substring_dedup_with_a_weak_first_hash(spark, monkeypatch, size):
+    """Where most grams of the first pass collide the second one decides; few words, so that windows repeat often."""
+    monkeypatch.setattr(substring_dedup, "GRAM_BITS", np.uint64(0x3F))
+    rows = [(i, " ".join(random.Random(i % 60).choices("ab" if size == 20 else "abcdefgh", k=5 + i % 70))) for i in range(150)]
+    out = substring_dedup.substring_dedup(make_docs(spark, rows).repartition(6), size)
+    assert order(tuple(r) for r in out.collect()) == order(substring_brute(rows, size))
+
+
+def test_equal_windows_have_the_same_least_gram():
+    known, windows = WordHashes(), Windows(10)
+    w, loop = words(5, 300).encode().split(), b"la li lu".split() * 30
+    for text, other in ((w, w[:3] + w[40:75] + w[:5]), (loop, w[:7] + loop[2:40])):
+        found = [set(substring_dedup.least_grams(windows.of(known.of(t)), 10).tolist()) for t in (text, other)]
+        grams = [windows.of(known.of(t)) for t in (text, other)]
+        for i in range(len(text) - 19):
+            for j in range(len(other) - 19):
+                if text[i : i + 20] == other[j : j + 20]:
+                    assert any(i <= p <= i + 10 and (j + p - i) in found[1] and grams[0][p] == grams[1][j + p - i] for p in found[0])
+
+
 def test_window_hashes_depend_on_the_words_alone():
     known, windows = WordHashes(), Windows(3)
     w = words(1, 500).encode().split()
