@@ -8,10 +8,12 @@ similarity at most once in a million: 36 bands of 7 for 0.85, 51 of 5 for 0.8.
 
 Equal shingle sets are one class from the start.  In each band bucket every class is first compared with
 the bucket's smallest one; similar ones are linked and their components found.  Only buckets that still
-hold several components go on: members outside the smallest one's component meet all others in blocks.
-A first pass over the sketches keeps those that may be linked to another component; a second compares
-their full sets with matrix products and returns no more links than join the components.  No pair of a
-bucket that could link two components is left out, and pairs never become rows.
+hold several components go on, cut by set size: sets are in one size step with those that they may be
+linked to, or in neighbouring ones, and only these meet.  There members outside the smallest one's
+component meet all others in blocks, bounded by rows and by shingles.  A first pass over the sketches
+keeps those that may be linked to another component; a second compares their full sets with matrix
+products and returns no more links than join the components.  No pair of a bucket that could link two
+components is left out, and pairs never become rows.
 
 Pairs whose similarity, estimated from the registers and corrected for chance collisions, is five
 standard deviations too low are dropped; the others are decided on their full shingle sets.
@@ -19,6 +21,7 @@ standard deviations too low are dropped; the others are decided on their full sh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +40,8 @@ BUCKETS = 1 << BUCKET_BITS
 DEVIATIONS = 5
 #: Chance to miss a pair of exactly the least similarity.
 MISSED = 1e-6
-#: Members of a bucket that are compared at once, and shingles counted at once.
-BLOCK, COLUMNS = 512, 4096
+#: Members of a bucket that are compared at once and the shingles that they have on average, and columns of a matrix.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 
 
 class Sketcher:
@@ -124,8 +127,8 @@ def _bands(percent: int):
                 continue
             registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
             keys = band_keys(registers, bands, width)
-            node = np.repeat(batch.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["band", "node"])
+            node, n = (np.repeat(batch.column(i).to_numpy(), bands) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node), pa.array(n)], ["band", "node", "n"])
 
     return run
 
@@ -209,7 +212,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
 
 
 def _hopeful(percent: int):
-    """Blocks of (band, x, y, node, component, n, sketch) -> (band, node) of those that may be linked to another component there.
+    """Blocks of (band, step, x, y, node, component, n, sketch) -> (band, node) of those that may be linked to another component there.
 
     A pair counts in the first band that it shares.
     """
@@ -217,15 +220,21 @@ def _hopeful(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = percent / 100
-        for (band, _, _), rows in _grouped(batches, 3):
-            component, n = rows.column(4).to_numpy(), rows.column(5).to_numpy().astype(np.float64)
+        for (band, *_), rows in _grouped(batches, 4):
+            component, n = rows.column(5).to_numpy(), rows.column(6).to_numpy().astype(np.float64)
             if (component == component[0]).all():
                 continue
-            node, hopeful = rows.column(3).to_numpy(), np.zeros(len(component), bool)
-            registers = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            least = j - DEVIATIONS * np.sqrt(j * (1 - j) / np.minimum(n, BUCKETS))
+            node = rows.column(4).to_numpy()
+            registers = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint16).reshape(-1, BUCKETS)
             keys = band_keys(registers, bands, width)
-            own = int(np.flatnonzero(keys[0].view(np.int64) == band)[0])
+            member = keys.view(np.int64) == band
+            inside = member.any(axis=1)  # an id that repeats brings other texts' sketches, which have buckets of their own
+            if not inside.any():
+                continue
+            own = int(np.argmax(member[inside][0]))
+            component, n, node, registers, keys = (x[inside] for x in (component, n, node, registers, keys))
+            hopeful = np.zeros(len(component), bool)
+            least = j - DEVIATIONS * np.sqrt(j * (1 - j) / np.minimum(n, BUCKETS))
             for at in range(0, len(node), 64):
                 part = slice(at, at + 64)
                 equal = (registers[part, None, :] == registers[None, :, :]).mean(axis=2)
@@ -242,14 +251,14 @@ def _hopeful(percent: int):
 
 
 def _spanning(percent: int):
-    """Blocks of (band, x, y, node, component, shingles) -> links between components, no more than it takes to join them."""
+    """Blocks of (band, step, x, y, node, component, shingles) -> links between components, no more than it takes to join them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, 3):
-            nodes, component = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+        for _, rows in _grouped(batches, 4):
+            nodes, component = rows.column(4).to_numpy(), rows.column(5).to_numpy()
             if (component == component[0]).all():
                 continue
-            sets = [np.frombuffer(s, np.uint64) for s in rows.column(5).to_pylist()]
+            sets = [np.frombuffer(s, np.uint64) for s in rows.column(6).to_pylist()]
             common, n = common_shingles(sets).astype(np.float64), np.array([len(s) for s in sets], np.float64)
             near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
             root = {int(c): int(c) for c in component}
@@ -271,24 +280,29 @@ def _spanning(percent: int):
     return run
 
 
-def in_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Deals (band, node, component, outside) to blocks (x, y) in which every pair that has a member outside the hub's component meets.
+def in_blocks(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Deals (band, node, n, component, outside) to blocks (band, step, x, y) in which every pair of a bucket meets that has a member outside the hub's component and sizes that allow a link.
 
-    Outsiders make the x blocks, all members the y blocks; a bucket of up to BLOCK rows is one block.
+    Steps of size are so wide that sets of one step can be linked only to those of the same and of the next
+    one; a member comes into its own step, and as ``below`` into the step above.  Outsiders make the x
+    blocks, all members the y blocks; a step of up to BLOCK rows and BLOCK_SHINGLES is one block.
     """
-    sizes = members.groupBy("band").agg(
-        F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK).cast("int").alias("xs"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ys")
-    ).where("xs > 0")
-    rows = members.join(scratch.write(sizes), "band")
+    step = F.floor(F.log(F.col("n")) / (-math.log(percent / 100) * (1 + 1e-6))).cast("int")
+    both = F.array(F.struct(step.alias("step"), F.lit(False).alias("below")), F.struct((step + 1).alias("step"), F.lit(True).alias("below")))
+    rows = members.withColumn("in", F.explode(both)).select("band", "in.step", "in.below", "node", "n", "component", "outside")
+    large = lambda which: F.greatest(F.sum(which), F.sum(F.col("n") * which) * (BLOCK / BLOCK_SHINGLES))
+    blocks = lambda which: F.ceil(large(which) / BLOCK).cast("int")
+    sizes = rows.groupBy("band", "step").agg(blocks(F.col("outside").cast("int")).alias("xs"), blocks(F.lit(1)).alias("ys"), F.min("below").alias("only_below"))
+    rows = rows.join(scratch.write(sizes.where("xs > 0 and not only_below").drop("only_below")), ["band", "step"])
     x, y = F.pmod(F.xxhash64("node"), F.col("xs")).cast("int"), F.pmod(F.xxhash64("node", F.lit("y")), F.col("ys")).cast("int")
     as_y = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda i: F.struct(i.alias("x"), y.alias("y")))
     as_x = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda i: F.struct(x.alias("x"), i.alias("y")))
     cells = F.when(F.col("outside"), F.array_union(as_y, as_x)).otherwise(as_y)
-    return rows.withColumn("cell", F.explode(cells)).select("band", "cell.x", "cell.y", "node", "component")
+    return rows.withColumn("cell", F.explode(cells)).select("band", "step", "cell.x", "cell.y", "node", "n", "component")
 
 
 def by_block(rows: DataFrame, many: int) -> DataFrame:
-    return rows.repartition(many, "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return rows.repartition(many, "band", "step", "x", "y").sortWithinPartitions("band", "step", "x", "y")
 
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,9 +324,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     nodes = scratch.write(sketches.join(classes, (sketches["mark"] == classes["mark"]) & (sketches["doc_id"] == classes["node"])).select("node", "n", "sketch"))
     scratch.drop(sketches, classes)
 
-    banded = nodes.select("node", "sketch").mapInArrow(_bands(percent), "band long, node long")
+    banded = scratch.write(nodes.select("node", "sketch", "n").mapInArrow(_bands(percent), "band long, node long, n long"))
     shared = scratch.write(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub"))
     buckets = scratch.write(banded.join(shared, "band"))
+    scratch.drop(banded, shared)
     sets = scratch.write(shingle_sets(rows, buckets.select(F.col("node").alias("doc_id")).distinct(), shingle))
     links = verified(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, sets, percent, scratch)
     first = scratch.write(components(links, scratch))
@@ -321,10 +336,10 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     hubs = first.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     placed = buckets.join(first, "node", "left").join(hubs, "hub", "left")
     component = F.coalesce("component", "node")
-    placed = scratch.write(placed.select("band", "node", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("outside")))
-    sketched = in_blocks(placed, scratch).join(nodes, "node").select("band", "x", "y", "node", "component", "n", "sketch")
+    placed = scratch.write(placed.select("band", "node", "n", component.alias("component"), (component != F.coalesce("hub_component", "hub")).alias("outside")))
+    sketched = in_blocks(placed, scratch, percent).join(nodes, ["node", "n"]).select("band", "step", "x", "y", "node", "component", "n", "sketch")
     hopeful = scratch.write(by_block(sketched, many).mapInArrow(_hopeful(percent), "band long, node long").distinct())
-    full = in_blocks(scratch.write(placed.join(hopeful, ["band", "node"], "left_semi")), scratch).join(sets, "node").select("band", "x", "y", "node", "component", "shingles")
+    full = in_blocks(scratch.write(placed.join(hopeful, ["band", "node"], "left_semi")), scratch, percent).join(sets, "node").select("band", "step", "x", "y", "node", "component", "shingles")
     more = scratch.write(by_block(full, many).mapInArrow(_spanning(percent), "a long, b long").distinct())
     scratch.drop(sets, hopeful)
     joined = components(links.unionByName(more), scratch)

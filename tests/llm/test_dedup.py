@@ -122,6 +122,44 @@ def test_blocks_of_a_bucket_cover_all_pairs(spark, monkeypatch):
     assert order(tuple(r) for r in near_dedup.near_dedup(make_docs(spark, rows)).collect()) == order(near_brute(rows))
 
 
+def test_a_family_below_the_threshold_stays_apart(spark, monkeypatch):
+    """Documents of one template, of similarity 0.70 to 0.84, of several sizes, with a few true near copies among them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 3000)
+    template, rows = words(61, 260).split(), []
+    for i in range(140):
+        own = words(7000 + i, 30 + i % 20).split()
+        size = 150 + 22 * (i % 6)
+        rows.append((i, " ".join([*template[:size], *own])))
+    rows += [(500 + i, rows[i][1] + " " + words(i, 3)) for i in range(0, 140, 20)] + [(700, rows[3][1]), (701, template[0])]
+    sets = [shingles(t) for _, t in rows[:140]]
+    close = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.7 <= x < 0.85 for x in close) > 1000
+    expected = order(near_brute(rows))
+    assert order(tuple(r) for r in near_dedup.near_dedup(make_docs(spark, rows)).collect()) == expected and sum(not r[3] for r in expected) > 7
+
+
+def test_ids_that_repeat_with_other_texts(spark, monkeypatch):
+    """An id's texts share its buckets; each is compared where it belongs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    base, other = words(71, 120), words(72, 400)
+    rows = [(i, edited(base, i, i % 4)) for i in range(40)] + [(i, edited(other, i, i % 9)) for i in range(0, 80, 2)] + [(i % 3, words(900 + i, 50)) for i in range(9)]
+    assert order(tuple(r) for r in near_dedup.near_dedup(make_docs(spark, rows)).collect()) == order(near_brute(rows))
+
+
+def test_sizes_that_allow_a_link_are_at_most_one_step_apart(spark):
+    from pyspark.sql import functions as F
+
+    for percent in (80, 85, 90):
+        pairs = [(a, b) for b in range(1, 400) for a in range(-(-b * percent // 100), b + 1)]
+        nodes = spark.createDataFrame([(1, 1000 * a + b, n, 0, True) for a, b in pairs[:: 7] + [p for p in pairs if 100 * p[0] == percent * p[1]] for n in {a, b}], "band long, node long, n long, component long, outside boolean").distinct()
+        steps = near_dedup.in_blocks(nodes, Scratch(spark, "test"), percent).groupBy("node", "n").agg(F.collect_set("step").alias("steps")).collect()
+        by = {}
+        for r in steps:
+            by.setdefault(r["node"], []).append(set(r["steps"]))
+        assert by and all(set.intersection(*found) for found in by.values())
+
+
 def test_registers_estimate_jaccard():
     sketcher = near_dedup.Sketcher(5)
     for n in (40, 400, 4000):
