@@ -6,8 +6,9 @@ cumulative demand.  Documents of a source form one fixed pseudo-random stream (r
 exceeds the source); inverting the demand at a document's place in that stream gives its training
 position, and documents are range-sorted by position.
 
-Running sums are two-level: 4096 slices of the stream order in each source are summed first, so no task
-holds a whole source.
+Running sums are two-level: slices of the stream order in each source, more of them for larger tables, are
+summed first, so no task holds a whole source.  The table of sources, one short row each, is sorted in one
+task; that bounds their number to some ten million.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, read_table
+from .shared import WORD, Scratch, read_table, slice_digits
 
 #: (time, weight) corners of piecewise linear schedules, dealt to sources in turn as the weights are.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 1.0), (1.0, 1.75)))
 WEIGHTS = (1, 2, 3)
 CAP = 3
-SLICE_DIGITS = 3
 
 
 def source_key(source: str) -> Column:
@@ -79,7 +79,8 @@ def curriculum_mix(
     source's stream once more, until the source's target is met to within half a document.  A null text
     has size 0; a null source is a source of its own, last in order; documents of size 0 add nothing and
     follow their place in the stream.  Rows that repeat an id are separate documents.  No randomness but
-    the MD5 of seed and id: reruns agree.
+    the MD5 of seed and id: reruns agree.  Texts of any length count all their words; an empty table gives an
+    empty result; other columns play no part, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     base = scratch.write(
@@ -90,8 +91,8 @@ def curriculum_mix(
         )
         .withColumn("key", source_key("source"))
         .withColumn("place", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-        .withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
     )
+    base = base.withColumn("slice", F.substring("place", 1, slice_digits(base.count())))
     slices = base.groupBy("key", "source", "slice").agg(F.sum("size").alias("slice_size"))
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select("key", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("offset"))

@@ -21,12 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, partitions, read_table, text_or_empty
+from .shared import Scratch, partitions, read_table, slice_digits, text_or_empty
 
 SHARDS, OVERHEAD = 40, 16
 CELLS, WINDOWS = 100_000, 200
-#: Slices of the content-hash order whose sums the driver holds: 16**3.
-SLICE_DIGITS = 3
 
 
 class Starts:
@@ -143,7 +141,9 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
 
     Size is the UTF-8 length of the text plus ``overhead``.  Equal texts (null counts as empty) share a
     shard; slots count up from 0 in each shard.  Rows that repeat an id are documents of their own, null
-    ids come last in their group.  With fewer groups than shards some shards stay empty.
+    ids come last in their group.  With fewer groups than shards some shards stay empty.  Texts may be of any
+    length; an empty table gives an empty result; other columns play no part, whatever their names.  The driver
+    holds the sums of the slices (at most 16**5) and, in each round, up to CELLS starts.
     """
     spark = docs.sparkSession
     scratch, salts = Scratch(spark, "sharding"), partitions(spark)
@@ -156,9 +156,10 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
         *([F.struct(*docs.columns).alias("row")] if carry else []),
     ).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     base = scratch.write(keyed.drop("row"))
+    digits = slice_digits(base.count())
     # An atom is the part of a group with one salt: a hot group is many atoms, which stay together on the line.
     atoms = scratch.write(
-        base.groupBy("key", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).withColumn("slice", F.hex(F.substring("key", 1, 2)).substr(1, SLICE_DIGITS))
+        base.groupBy("key", "salt").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).withColumn("slice", F.hex(F.substring("key", 1, 4)).substr(1, digits))
     )
     total = atoms.agg(F.sum("bytes")).first()[0] or 0
     own, left = [], total
@@ -177,7 +178,7 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
     line = scratch.write(
         atoms.where(~is_own)
         .select("key", "salt", "slice", run("bytes").alias("at"), run("rows").alias("row"), (~F.col("key").eqNullSafe(F.lag("key").over(upto))).alias("opens"))
-        .join(F.broadcast(slices), "slice")  # at most 4096 rows
+        .join(F.broadcast(slices), "slice")  # at most 16**5 rows
         .select("key", "salt", "opens", (F.col("at") + F.col("slice_at")).alias("at"), (F.col("row") + F.col("slice_rows")).alias("row"))
     )
 

@@ -113,6 +113,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Rows that a slice of a table in hash order should hold, and the hexadecimal digits of the hash that tell slices apart: 4,096 to 1,048,576 slices.
+SLICE_ROWS, SLICE_DIGITS = 250_000, (3, 5)
+
+
+def slice_digits(rows: int) -> int:
+    least, most = SLICE_DIGITS
+    return next((d for d in range(least, most) if 16**d * SLICE_ROWS >= rows), most)
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
