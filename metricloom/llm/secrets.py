@@ -8,6 +8,9 @@ part in their scope: at most ``SCOPE`` code points away in the same document.  T
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,10 @@ NAMED = (
 BARE = r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
 ADDED = {"named": (NAMED, "secret", ("identifier", "endpoint")), "bare": (BARE, "secret", ("identifier", "endpoint"))}
 ALL_KINDS = KINDS | ADDED
+#: Texts that hold a part of a kind hold one of these, in either case: a cheap sieve before the patterns.
+SIEVES = {
+    "assign": ("passw", "secret", "token", "apikey", "api_key"), "access": ("akia",), "login": ("user", "login", "client_id", "account"), "endpoint": ("://", "host", "endpoint"),
+}
 LONG_VALUE, SHORT_VALUE = 12, 4
 BASE = ("assign", "access", "hex")
 
@@ -51,8 +58,12 @@ def scanned(docs: DataFrame) -> DataFrame:
         every = lambda group: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), F.length)
         pieces = F.transform(F.split("text", pattern, -1), F.length)
         zipped = F.arrays_zip(pieces.alias("gap"), every(0).alias("size"), every(2 if name == "assign" else 0).alias("value"))
-        return F.when(F.col("text").rlike(pattern), F.struct(F.lit(name).alias("pattern"), zipped.alias("hits")))
+        found = F.col("text").rlike(pattern)
+        if name in SIEVES:
+            found = reduce(or_, [F.contains("lower", F.lit(x)) for x in SIEVES[name]]) & found
+        return F.when(found, F.struct(F.lit(name).alias("pattern"), zipped.alias("hits")))
 
+    docs = docs.withColumn("lower", F.lower("text"))
     found = [hit(name, pattern) for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("login", LOGIN), ("endpoint", ENDPOINT))]
     docs = docs.withColumn("hits", F.array_compact(F.array(*found)))
     more = F.array_compact(F.array(*[hit(k, ADDED[k][0]) for k in ADDED]))
@@ -99,11 +110,13 @@ def completed(found: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and spans, an array of (start, nth, kind, end) sorted by start, then kind.
 
-    A null text counts as empty and has no spans; rows that repeat an id are scanned on their own.
+    A null text counts as empty and has no spans; rows that repeat an id are scanned on their own.  Texts of
+    any length are scanned whole; of parts that start together the kinds' order decides.  An empty table gives
+    an empty result; other columns play no part, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(docs[text_col]).alias("text"))
-    scans = scratch.write(scanned(rows).drop("text"))
+    scans = scratch.write(scanned(rows).drop("text", "lower"))
     found = outside_others(parts(scans))
     weak_kinds = [k for k in ALL_KINDS if ALL_KINDS[k][2]]
     spans = found.where(~F.col("kind").isin(weak_kinds)).unionByName(completed(found))
