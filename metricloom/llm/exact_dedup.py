@@ -12,7 +12,7 @@ representative row each, compared by the whole text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import WHITESPACE, Scratch, partitions, read_table, text_or_empty
@@ -22,14 +22,15 @@ HEAD = 64
 DRAWN = 200
 
 
-def hot_texts(docs: DataFrame, norm, many: int) -> DataFrame:
+def hot_texts(docs: DataFrame, norm: Column, many: int, scratch: Scratch) -> DataFrame:
     """(hash, salts) of texts that outgrow half a partition, by a sample: at most 4 * ``many`` rows."""
     total = docs.count()
     drawn = docs.sample(min(1.0, DRAWN * many / max(total, 1)), 7).select(norm.alias("norm"))
     texts = drawn.groupBy(F.xxhash64("norm").alias("hash")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("norm") + 16).alias("bytes"))
-    whole = texts.agg(F.sum("rows").alias("all_rows"), F.sum("bytes").alias("all_bytes"))
-    share = F.greatest(F.col("rows") / F.col("all_rows"), F.col("bytes") / F.col("all_bytes"))
-    hot = texts.where("rows > 1").join(F.broadcast(whole)).where(share > 0.5 / many)  # whole is one row
+    texts = scratch.write(texts)
+    rows, size = texts.agg(F.sum("rows"), F.sum("bytes")).first()
+    share = F.greatest(F.col("rows") / F.lit(rows or 1), F.col("bytes") / F.lit(size or 1))
+    hot = texts.where("rows > 1").where(share > 0.5 / many)
     return hot.select("hash", F.ceil(share * 2 * many).cast("int").alias("salts"))
 
 
@@ -45,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     scratch, many = Scratch(spark, "exact-dedup"), partitions(spark)
     norm = F.regexp_replace(text_or_empty(docs[text_col]), WHITESPACE, " ")
-    hot = scratch.write(hot_texts(docs, norm, many))
+    hot = scratch.write(hot_texts(docs, norm, many, scratch))
     # Null ids of a hot text go by input partition, which a retried task shares.
     spread = F.when(F.col("doc_id").isNull(), F.spark_partition_id()).otherwise(F.xxhash64("doc_id"))
     rows = (

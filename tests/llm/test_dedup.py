@@ -47,7 +47,7 @@ def test_salted_runs_of_hot_texts_meet(spark):
     """Several hot texts, one of them only of null ids and one of repeated ids, over many input partitions."""
     rows = [(i if i % 5 else None, ["", "hot one", "hot " * 50, words(2, 9)][i % 4]) for i in range(400)] + [(None, "no id")] * 60 + [(7, "seven")] * 60 + [(900 + i, words(i, 6)) for i in range(50)]
     docs = make_docs(spark, rows).repartition(11)
-    hot = exact_dedup.hot_texts(docs, docs["text"], 16).collect()
+    hot = exact_dedup.hot_texts(docs, docs["text"], 16, Scratch(spark, "test")).collect()
     assert 4 <= len(hot) <= 64 and any(r["salts"] > 1 for r in hot)
     assert order(tuple(r) for r in exact_dedup.exact_dedup(docs).collect()) == order(exact_brute(rows))
 
@@ -61,7 +61,7 @@ def test_texts_that_share_a_long_head(spark):
 def test_neighbours_decide_unless_a_text_is_hot(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     shared = docs.groupBy("text").count().where("count > 1").count()
-    hot = exact_dedup.hot_texts(docs, docs["text"], 32).count()
+    hot = exact_dedup.hot_texts(docs, docs["text"], 32, Scratch(spark, "test")).count()
     assert shared > 40 and hot < shared / 4
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
     assert "pythonudf" not in plan.lower() and "mapinarrow" not in plan.lower()
