@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from .timeaxis import NTZ, TimeAxis
 
 AT, VALUE, ESTIMATED, LOW, HIGH = "at", "value", "estimated", "low", "high"
+#: Hidden column with the order in which a source gave its rows.
+SEQUENCE = "_sequence"
 
 
 @dataclass(frozen=True)
@@ -20,6 +22,8 @@ class PointFrame:
     ``estimated`` and, if it has a range, ``low`` and ``high``.
 
     ``unique`` says that no two points share key and time, as after any bucketing or grouping.
+    ``sequenced`` says that the hidden column SEQUENCE ranks points of one key and time; without it they rank
+    by value, so that results never depend on how rows are partitioned.
     ``hidden`` dimensions belong to every key though no report names them (the metric of a batch).
     """
 
@@ -32,6 +36,7 @@ class PointFrame:
     ranged: bool = False
     hidden: tuple[str, ...] = ()
     unique: bool = False
+    sequenced: bool = False
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -40,18 +45,24 @@ class PointFrame:
 
     @property
     def extras(self) -> tuple[str, ...]:
-        return ((ESTIMATED,) if self.estimates else ()) + ((LOW, HIGH) if self.ranged else ())
+        return ((ESTIMATED,) if self.estimates else ()) + ((LOW, HIGH) if self.ranged else ()) + ((SEQUENCE,) if self.sequenced else ())
 
     @property
     def columns(self) -> tuple[str, ...]:
         return (*self.keys, AT, VALUE, *self.extras)
 
     def order(self) -> list[Column]:
-        """Row order where none is given: time, then key."""
-        return [F.col(AT), *[F.col(k) for k in self.keys]]
+        """Row order: time, then the source's order if it is known, then key.  Aggregates rank what is left by value."""
+        return [F.col(AT), *([F.col(SEQUENCE)] if self.sequenced else []), *[F.col(k) for k in self.keys]]
+
+    def ranks(self) -> list[Column]:
+        """Row order within a key, without ties but among equal values."""
+        return [F.col(AT), *([F.col(SEQUENCE)] if self.sequenced else []), F.col(VALUE)]
 
     def having(self, df: DataFrame, **changes) -> PointFrame:
         out = replace(self, df=df, **changes)
+        if out.sequenced and (out.unique or SEQUENCE not in df.columns):
+            out = replace(out, sequenced=False)
         return replace(out, df=out.df.select(*out.columns))
 
     def refuse_ranges(self, what: str) -> None:
@@ -64,9 +75,9 @@ class PointFrame:
 
 
 def points(spark: SparkSession, rows: Iterable[tuple], dims: dict[str, str], entity: str | None = None, axis: TimeAxis = TimeAxis(), unit: str | None = None) -> PointFrame:
-    """A frame from rows (dims..., at, value); ``dims`` maps names to ``bigint`` or ``string``."""
+    """A frame from rows (dims..., at, value) in their order; ``dims`` maps names to ``bigint`` or ``string``."""
     fields = [T.StructField(d, T.LongType() if k == "bigint" else T.StringType()) for d, k in dims.items()]
-    schema = T.StructType([*fields, T.StructField(AT, T.TimestampNTZType()), T.StructField(VALUE, T.DoubleType())])
-    df = spark.createDataFrame([(*r[:-1], None if r[-1] is None else float(r[-1])) for r in rows], schema)
-    frame = PointFrame(df, tuple(dims), entity, axis, unit)
+    schema = T.StructType([*fields, T.StructField(AT, T.TimestampNTZType()), T.StructField(VALUE, T.DoubleType()), T.StructField(SEQUENCE, T.LongType())])
+    df = spark.createDataFrame([(*r[:-1], None if r[-1] is None else float(r[-1]), i) for i, r in enumerate(rows)], schema)
+    frame = PointFrame(df, tuple(dims), entity, axis, unit, sequenced=True)
     return frame.having(df.withColumn(VALUE, F.nanvl(VALUE, F.lit(None).cast("double"))).withColumn(AT, F.col(AT).cast(NTZ)))

@@ -19,14 +19,14 @@ class Aggregator:
     percent: float | None = None
 
     def column(self, value: Column, order: Sequence[Column] = ()) -> Column:
-        """Over a group; ``order`` ranks its rows for first and last."""
+        """Over a group; ``order`` ranks its rows for first and last, the value ranks rows that are equal in it."""
         present = F.count(value)
         if self.percent is not None:
             return F.percentile(value, self.percent / 100)
         if self.name == "count":
             return F.when(present > 0, present.cast("double"))
         if self.name in ("first", "last"):
-            place = F.when(value.isNotNull(), F.struct(*order))
+            place = F.when(value.isNotNull(), F.struct(*order, value))
             return F.min_by(value, place) if self.name == "first" else F.max_by(value, place)
         return {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_samp, "variance": F.var_samp}[self.name](value)
 
@@ -64,24 +64,20 @@ class Aggregator:
 
 @dataclass(frozen=True)
 class CustomAggregator(Aggregator):
-    """An aggregate given as a Python function of a float Series (never empty, in time order); runs as a pandas aggregate."""
+    """An aggregate given as a Python function of a float Series (never empty, in row order).
 
-    function: Callable[[pd.Series], float] = None
-
-    def _udf(self):
-        function = self.function
+    Spark sorts each group's values into an array, and the function runs on Arrow batches of such arrays, so
+    it fits beside any other aggregate.
+    """
 
-        def run(values: pd.Series) -> float:
-            values = values.dropna()
-            return float(function(values)) if len(values) else float("nan")
-
-        return F.pandas_udf(run, "double")
+    function: Callable[[pd.Series], float] = None
 
     def column(self, value, order=()):
-        return self._udf()(value)
+        rows = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], value.alias("v"))))
+        return self.of_array(F.transform(rows, lambda r: r["v"]))
 
     def over(self, value, window):
-        return self._udf()(value).over(window)
+        return self.of_array(F.transform(F.collect_list(F.struct(value.alias("v"))).over(window), lambda r: r["v"]))
 
     def of_array(self, values):
         function = self.function

@@ -213,6 +213,7 @@ def merge(*frames: PointFrame) -> PointFrame:
         if ranged and not f.ranged:
             part = part.withColumns({c: F.lit(None).cast("double") for c in (LOW, HIGH)})
         df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    sequenced = all(f.sequenced for f in frames)
     dims = tuple(dict.fromkeys(d for f in frames for d in f.dims))
     same_axis = all(f.axis == first.axis for f in frames)
-    return first.having(df, dims=dims, estimates=estimates, ranged=ranged, axis=first.axis if same_axis else type(first.axis)(first.axis.kind), unique=False)
+    return first.having(df, dims=dims, estimates=estimates, ranged=ranged, axis=first.axis if same_axis else type(first.axis)(first.axis.kind), unique=False, sequenced=sequenced)

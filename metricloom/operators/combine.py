@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import AT, ESTIMATED, VALUE, PointFrame
+from ..frame import AT, ESTIMATED, SEQUENCE, VALUE, PointFrame
 from ..functions.baseline import CalendarShift
 from ..timeaxis import LOCAL, NTZ, Calendar, TimeAxis, to_local, to_utc
 
@@ -29,10 +29,9 @@ def _same(a: str, b: str, columns) -> Column:
 
 
 def _last_present(frame: PointFrame, by: list[str]) -> DataFrame:
-    """One present row for each key: of several, the last in row order."""
-    made = [F.max_by(VALUE, F.struct(*frame.order())).alias(VALUE)]
-    if frame.estimates:
-        made.append(F.max_by(ESTIMATED, F.struct(*frame.order())).alias(ESTIMATED))
+    """One present row for each key: of several, the last in row order, and of those the greatest."""
+    place = F.struct(*frame.order(), VALUE, *([ESTIMATED] if frame.estimates else []))
+    made = [F.max_by(c, place).alias(c) for c in (VALUE, *([ESTIMATED] if frame.estimates else []))]
     return frame.df.where(F.col(VALUE).isNotNull()).groupBy(*by).agg(*made)
 
 
@@ -45,7 +44,7 @@ def _matched(left: PointFrame, right: PointFrame, by: list[str], value: Callable
         estimated = estimated | F.col(f"l.{ESTIMATED}")
     if right.estimates:
         estimated = estimated | F.coalesce(F.col(f"r.{ESTIMATED}"), F.lit(False))
-    keys = [F.col(f"l.{k}") for k in left.keys]
+    keys = [F.col(f"l.{k}") for k in (*left.keys, *([SEQUENCE] if left.sequenced else []))]
     return joined.select(*keys, F.col(f"l.{AT}"), value(F.col(f"l.{VALUE}"), F.col(f"r.{VALUE}")).alias(VALUE), estimated.alias(ESTIMATED))
 
 
@@ -90,7 +89,7 @@ def ratio(inputs: PointFrame, metric_dim: str, numerator: str, denominator: str,
     ok = F.col("_d").isNotNull() & (F.col("_d") != 0)
     if minimum is not None:
         ok = ok & (F.col("_d") >= float(minimum))
-    if inputs.unique or den.estimates:
+    if inputs.unique:
         unique = [F.max(F.when(F.col(metric_dim) == m, F.col(VALUE))).alias(c) for m, c in ((numerator, "_n"), (denominator, "_d"))]
         if inputs.estimates:
             unique.append(F.coalesce(F.max(inputs.estimated()), F.lit(False)).alias(ESTIMATED))
@@ -99,7 +98,10 @@ def ratio(inputs: PointFrame, metric_dim: str, numerator: str, denominator: str,
         num = side(numerator)
         n = _last_present(num, keys).alias("n")
         d = den.df.withColumnRenamed(VALUE, "_d").where(ok).alias("d")
-        df = d.join(n, _same("d", "n", keys), "left").select(*[F.col(f"d.{k}") for k in keys], (F.coalesce(F.col(f"n.{VALUE}"), F.lit(0.0)) / F.col("_d") * scale).alias(VALUE))
+        kept = [F.col(f"d.{k}") for k in (*keys, *([SEQUENCE] if den.sequenced else []))]
+        if inputs.estimates:
+            kept.append((F.coalesce(F.col(f"d.{ESTIMATED}"), F.lit(False)) | F.coalesce(F.col(f"n.{ESTIMATED}"), F.lit(False))).alias(ESTIMATED))
+        df = d.join(n, _same("d", "n", keys), "left").select(*kept, (F.coalesce(F.col(f"n.{VALUE}"), F.lit(0.0)) / F.col("_d") * scale).alias(VALUE))
     return den.having(df, unit=unit)
 
 

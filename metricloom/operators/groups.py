@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..frame import AT, ESTIMATED, VALUE, PointFrame
+from ..frame import AT, ESTIMATED, SEQUENCE, VALUE, PointFrame
 from ..functions.aggregators import SUM, Aggregator
 from ..timeaxis import NTZ, Context
 from .base import PointColumns, Transform
@@ -83,7 +83,7 @@ class Reduce(Transform):
         frame.refuse_ranges("a reduction")
         made = self.key(PointColumns(frame))
         keyed = frame.df.select(*[F.col(k).alias(f"_was_{k}") for k in frame.keys], *frame.hidden, *[c.alias(d) for d, c in made.items()], AT, VALUE, *frame.extras)
-        order = [F.col(AT), *[F.col(f"_was_{k}") for k in frame.keys]]
+        order = [F.col(AT), *([F.col(SEQUENCE)] if frame.sequenced else []), *[F.col(f"_was_{k}") for k in frame.keys]]
         value = [self.agg.column(F.col(VALUE), order).alias(VALUE)]
         if frame.estimates:
             value.append(F.coalesce(F.max(frame.estimated()), F.lit(False)).alias(ESTIMATED))

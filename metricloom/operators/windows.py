@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..frame import AT, ESTIMATED, VALUE
+from ..frame import AT, ESTIMATED, VALUE, PointFrame
 from ..functions.aggregators import MEAN, SUM, Aggregator
 from ..timeaxis import Context, micros
 from .base import Transform
@@ -23,7 +23,8 @@ class Rolling(Transform):
     """For every point, the aggregate of its key's values in (t - window, t]: a duration, not calendar days.
 
     Bucketed points have unique times and use a range frame.  Points of a key that may share a time see those
-    of their time up to themselves in row order only.
+    of their time up to themselves in row order only.  For those, counts, sums and means are made of window
+    totals, and only the other aggregates collect each window's values.
     """
 
     window: dt.timedelta
@@ -47,7 +48,9 @@ class Rolling(Transform):
             if frame.estimates:
                 made = made.withColumn(ESTIMATED, F.max(frame.estimated()).over(w))
             return frame.having(made.drop(VALUE).withColumnRenamed("_value", VALUE))
-        numbered = rows.withColumn("_n", F.row_number().over(per_key(frame.keys).orderBy("_t")))
+        numbered = rows.withColumn("_n", F.row_number().over(per_key(frame.keys).orderBy("_t", *frame.ranks()[1:])))
+        if self.agg.name in ("sum", "mean", "count") and type(self.agg) is Aggregator:
+            return frame.having(self._of_totals(numbered, frame, w))
         seen = F.array_sort(F.collect_list(F.struct("_t", "_n", VALUE, *([ESTIMATED] if frame.estimates else []))).over(w))
         upto = F.filter("_seen", lambda x: (x["_t"] < F.col("_t")) | (x["_n"] <= F.col("_n")))
         values = F.transform(upto, lambda x: x[VALUE])
@@ -56,6 +59,25 @@ class Rolling(Transform):
             made = made.withColumn(ESTIMATED, F.exists(upto, lambda x: x[ESTIMATED] & x[VALUE].isNotNull()))
         return frame.having(made)
 
+    def _of_totals(self, numbered: DataFrame, frame: PointFrame, window: WindowSpec) -> DataFrame:
+        """The totals of the whole window, less those of later points at the same time.
+
+        Counts of a window are differences of running counts, so they cost no more for long windows.
+        """
+        start = -(self.window // dt.timedelta(microseconds=1))
+        upto = per_key(frame.keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = per_key(frame.keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, start)
+        later = per_key([*frame.keys, "_t"]).orderBy("_n").rowsBetween(1, Window.unboundedFollowing)
+        many = lambda what: F.count(what).over(upto) - F.count(what).over(before)
+        made = numbered.withColumn("_count", many(F.col(VALUE)).cast("double"))
+        value = F.col("_count")
+        if self.agg.name != "count":
+            made = made.withColumn("_total", F.sum(VALUE).over(window) - F.coalesce(F.sum(VALUE).over(later), F.lit(0.0)))
+            value = F.col("_total") if self.agg.name == "sum" else F.try_divide(F.col("_total"), F.col("_count"))
+        if frame.estimates:
+            made = made.withColumn("_guessed", many(F.when(frame.estimated(), 1)) > 0).drop(ESTIMATED).withColumnRenamed("_guessed", ESTIMATED)
+        return made.withColumn(VALUE, F.when(F.col("_count") > 0, value))
+
 
 @dataclass(frozen=True)
 class Cumulative(Transform):
@@ -69,7 +91,7 @@ class Cumulative(Transform):
 
     def apply(self, frame, context=Context()):
         frame.refuse_ranges("a cumulative aggregate")
-        w = per_key(frame.keys).orderBy(AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = per_key(frame.keys).orderBy(*frame.ranks()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         made = frame.df.where(F.col(AT).isNotNull()).withColumn("_value", self.agg.over(F.col(VALUE), w))
         if frame.estimates:
             made = made.withColumn(ESTIMATED, F.coalesce(F.max(frame.estimated()).over(w), F.lit(False)))

@@ -10,6 +10,8 @@ import threading
 from collections import Counter, OrderedDict
 from collections.abc import Sequence
 
+from pyspark.sql import functions as F
+
 from ..frame import PointFrame
 from .stores import MemoryStore, Store
 
@@ -42,46 +44,78 @@ class Versions:
 
 
 class SliceCache:
-    """Persisted raw points by scope; a request loads only entities that no cached slice of its scope holds."""
+    """Persisted points by scope, bucketed already where the report begins with that.
+
+    A request loads only the entities that no slice of its scope holds up to date.  Slices none of whose
+    entities are up to date are dropped, and once a scope has ``most_slices`` of them they are joined into one.
+    """
 
-    def __init__(self, most: int = 64):
-        self.most, self.versions, self.lock = most, Versions(), threading.RLock()
+    def __init__(self, most: int = 64, most_slices: int = 8):
+        self.most, self.most_slices, self.versions, self.lock = most, most_slices, Versions(), threading.RLock()
         self.slices: OrderedDict[tuple, list[tuple[dict, PointFrame]]] = OrderedDict()
         self.loads = 0
 
     @staticmethod
-    def scope(tenant: str, metrics, report, dims) -> tuple:
-        return tenant, tuple(metrics), report.timeframe, None if dims is None else tuple(sorted(dims))
-
-    def points(self, tenant: str, metrics, report, source, dims) -> PointFrame:
-        from pyspark.sql import functions as F
+    def scope(tenant: str, metrics, report, dims, head, context) -> tuple:
+        bucketed = None if head is None else (head.identity, context.calendar)
+        return tenant, tuple(metrics), report.timeframe, None if dims is None else tuple(sorted(dims)), bucketed
 
+    def points(self, tenant: str, metrics, report, source, dims, head=None, context=None) -> PointFrame:
         with self.lock:
-            scope = self.scope(tenant, metrics, report, dims)
+            scope = self.scope(tenant, metrics, report, dims, head, context)
             held = self.slices.setdefault(scope, [])
             self.slices.move_to_end(scope)
+            self._drop_outdated(held, tenant, metrics)
             wanted = [None] if report.entities is None else list(dict.fromkeys(report.entities))
-            stamps = {e: self.versions.stamp(tenant, metrics, e) for e in wanted}
-            parts, left = [], dict(stamps)
-            for known, frame in reversed(held):
-                use = [e for e, stamp in left.items() if known.get(e) == stamp]
-                if use:
-                    parts.append(frame if use == [None] else frame.having(frame.df.where(F.col(frame.entity).isin(use))))
-                    left = {e: s for e, s in left.items() if e not in use}
+            left = {e: self.versions.stamp(tenant, metrics, e) for e in wanted}
+            parts = []
+            for known, frame in held:
+                if use := [e for e in left if e in known]:
+                    parts.append(frame if len(use) == len(known) else frame.having(frame.df.where(F.col(frame.entity).isin(use))))
+                    left = {e: s for e, s in left.items() if e not in known}
             if left:
                 self.loads += 1
-                fresh = source.points(metrics, None if None in left else list(left), report.timeframe, dims)
+                entities = None if None in left else list(left)
+                fresh = source.points(metrics, entities, report.timeframe, dims) if head is None else source.rolled(metrics, entities, report.timeframe, dims, head, context)
                 fresh = fresh.having(fresh.df.persist())
                 held.append((left, fresh))
                 parts.append(fresh)
-            while len(self.slices) > self.most:
-                for _, frame in self.slices.popitem(last=False)[1]:
-                    frame.df.unpersist()
             out = parts[0]
             for p in parts[1:]:
                 out = out.having(out.df.unionByName(p.df))
+            if len(held) > self.most_slices:
+                self._join(held)
+            while len(self.slices) > self.most:
+                for _, frame in self.slices.popitem(last=False)[1]:
+                    frame.df.unpersist()
             return out
 
+    def _drop_outdated(self, held: list, tenant: str, metrics) -> None:
+        """Entities that were written to since leave their slices; empty slices go."""
+        for known, frame in list(held):
+            for e in [e for e, stamp in known.items() if self.versions.stamp(tenant, metrics, e) != stamp]:
+                del known[e]
+            if not known:
+                held[:] = [x for x in held if x[1] is not frame]
+                frame.df.unpersist()
+
+    @staticmethod
+    def _join(held: list) -> None:
+        """One slice of all that the slices of entities hold up to date; it reads them from memory when first used."""
+        several = [x for x in held if None not in x[0]]
+        if len(several) < 2:
+            return
+        known, df = {}, None
+        for entities, frame in several:
+            part = frame.df.where(F.col(frame.entity).isin(list(entities)))
+            df = part if df is None else df.unionByName(part)
+            known |= entities
+        joined = several[0][1].having(df.persist())
+        joined.df.count()  # before the parts go
+        for _, frame in several:
+            frame.df.unpersist()
+        held[:] = [x for x in held if None in x[0]] + [(known, joined)]
+
     def invalidate(self, tenant: str, metric: str | None = None, entity: int | None = None) -> None:
         with self.lock:
             self.versions.bump(tenant, metric, entity)

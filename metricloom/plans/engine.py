@@ -13,10 +13,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import functions as F
 
 from ..frame import AT, VALUE, PointFrame
+from ..functions.aggregators import Aggregator
 from ..functions.charts import compose, project
 from ..operators import combine
 from ..operators.base import Transform, run
-from ..operators.resample import Resample
+from ..operators.groups import GroupBy
+from ..operators.resample import LEAVE, Resample
 from ..sources.points import METRIC, Source
 from ..timeaxis import Calendar, Context
 from .cache import ChartCache, SliceCache
@@ -44,11 +46,26 @@ class Load:
     dims: tuple[str, ...] | None
     levels: bool
     head: Resample | None
+    #: Keys that the head buckets by where a grouping after it keeps no others.
+    by: tuple[str, ...] | None = None
 
     @property
     def key(self) -> tuple:
         r = self.report
-        return id(self.source), r.tenant, r.entities, r.timeframe, self.dims, repr(self.head)
+        return id(self.source), r.tenant, r.entities, r.timeframe, self.dims, repr(self.head), self.by
+
+
+def folded_by(transforms: Sequence[Transform]) -> tuple[str, ...] | None:
+    """The keys of a grouping that follows a bucketing with the same sum, least or greatest: both are then one grouping.
+
+    Sums of sums are sums, so bucketing can leave out the other keys at once instead of shuffling a row for
+    each of them.
+    """
+    if len(transforms) < 2 or type(transforms[0]) is not Resample or type(transforms[1]) is not GroupBy:
+        return None
+    head, group = transforms[:2]
+    same = head.agg == group.agg and type(head.agg) is Aggregator and head.agg.name in ("sum", "min", "max")
+    return group.by if same and head.gap == LEAVE else None
 
 
 class Engine:
@@ -97,7 +114,7 @@ class Engine:
         for t in report.transforms:
             grain = t.period if isinstance(t, Resample) else None if t.collapses_time else grain
         shift = report.comparison.baseline.resolve(report.timeframe, self.calendar)
-        if problem := shift.problem(grain, report.comparison.baseline.unit):
+        if problem := shift.problem(grain):
             raise ValueError(problem)
 
     # Execution
@@ -140,9 +157,10 @@ class Engine:
         parts = [self._load(tuple(ms), plan, context) for ms in groups.values()]
         if len({p.axis.kind for p in parts}) > 1:
             raise ValueError("a formula's inputs must have the same kind of time")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.having(out.df.select(*out.columns).unionByName(p.df.select(*out.columns)))
+        ranked = all(p.sequenced for p in parts)
+        out, *others = [p if ranked else p.having(p.df, sequenced=False) for p in parts]
+        for p in others:
+            out = out.having(out.df.select(*out.columns).unionByName(p.df.select(*out.columns)), unique=out.unique and p.unique)
         return out
 
     def _scope(self, metrics: tuple[str, ...], plan: Plan) -> Load:
@@ -150,8 +168,9 @@ class Engine:
         definitions = [self.catalog[m] for m in metrics]
         self._check_kind(definitions, source)
         levels = any(m.additivity == SEMI_ADDITIVE and set(m.dimensions) - set(report.dimensions) for m in definitions)
-        rolls = bool(plan.before) and type(plan.before[0]) is Resample and not levels and self.slices is None
-        return Load(metrics, source, report, None if levels else report.dimensions, levels, plan.before[0] if rolls else None)
+        rolls = bool(plan.before) and type(plan.before[0]) is Resample and not levels
+        head = plan.before[0] if rolls else None
+        return Load(metrics, source, report, None if levels else report.dimensions, levels, head, folded_by(plan.before) if rolls else None)
 
     def _load(self, metrics: tuple[str, ...], plan: Plan, context: Context) -> PointFrame:
         load = self._scope(metrics, plan)
@@ -161,13 +180,16 @@ class Engine:
             frame = self._read(load, metrics, context)
         if load.levels:
             frame = self._folded(frame, load.report.dimensions)
-        return run(frame, plan.before[1:] if load.head else plan.before, context)
+        done = 0 if load.head is None else 1 if load.by is None else 2
+        return run(frame, plan.before[done:], context)
 
     def _read(self, load: Load, metrics: tuple[str, ...], context: Context) -> PointFrame:
         report = load.report
+        if self.slices is not None and load.by is None:
+            return self.slices.points(report.tenant, metrics, report, load.source, load.dims, load.head, context)
         if load.head is not None:
-            return load.source.rolled(metrics, report.entities, report.timeframe, load.dims, load.head, context)
-        return self._points(metrics, report, load.source, load.dims)
+            return load.source.rolled(metrics, report.entities, report.timeframe, load.dims, load.head, context, load.by)
+        return load.source.points(metrics, report.entities, report.timeframe, load.dims)
 
     def _loads(self, report: Report) -> list[Load]:
         """What a report reads: for each of its timeframes, the metrics of each source."""
@@ -184,11 +206,6 @@ class Engine:
             out += [self._scope(tuple(ms), plan) for ms in groups.values()]
         return out
 
-    def _points(self, metrics: tuple[str, ...], report: Report, source: Source, dims) -> PointFrame:
-        if self.slices is None:
-            return source.points(metrics, report.entities, report.timeframe, dims)
-        return self.slices.points(report.tenant, metrics, report, source, dims)
-
     @staticmethod
     def _folded(frame: PointFrame, keep: Sequence[str]) -> PointFrame:
         """A level measured in parts: the parts of a time are summed, missing only if all are."""
@@ -196,7 +213,7 @@ class Engine:
         if set(frame.dims) == set(dims):
             return frame
         df = frame.df.groupBy(*frame.hidden, *dims, AT).agg(F.sum(VALUE).alias(VALUE))
-        return frame.having(df, dims=dims)
+        return frame.having(df, dims=dims, unique=True)
 
     def _check_kind(self, metrics: list[Metric], source: Source) -> None:
         for m in metrics:

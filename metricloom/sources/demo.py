@@ -1,4 +1,4 @@
-"""Made-up data for trying things out: a squad's daily load and wellness, and its weekly matches."""
+"""Made-up data for trying things out: the beds of a nursery, their daily readings, and what is picked from them."""
 
 from __future__ import annotations
 
@@ -7,41 +7,42 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.catalog import Catalog, Metric, Ratio, sum_of
+from ..plans.catalog import SEMI_ADDITIVE, Catalog, Metric, Ratio, difference_of
 from ..timeaxis import literal
 from .points import LongSource
 
+_CROP = ("crop",)
 CATALOG = Catalog([
-    Metric("training-load", "Training load", "AU", grain="day"), Metric("wellness", "Wellness", grain="day"),
-    Metric("minutes", "Minutes", "min", dimensions=("venue",)), Metric("goals", "Goals", dimensions=("venue",)), Metric("assists", "Assists", dimensions=("venue",)),
-    Metric("goals-per-90", "Goals per 90", formula=Ratio("goals", "minutes", 90.0), dimensions=("venue",)),
-    Metric("goal-involvements", "Goal involvements", formula=sum_of("goals", "assists"), dimensions=("venue",)),
+    Metric("moisture", "Soil moisture", "%", grain="day"), Metric("water", "Water", "l", grain="day", dimensions=_CROP),
+    Metric("picked", "Picked", "kg", dimensions=_CROP), Metric("spoiled", "Spoiled", "kg", dimensions=_CROP),
+    Metric("stock", "Plants", dimensions=_CROP, additivity=SEMI_ADDITIVE),
+    Metric("yield", "Picked for 1000 l", "kg", formula=Ratio("picked", "water", 1000.0), dimensions=_CROP),
+    Metric("sold", "Sold", "kg", formula=difference_of("picked", "spoiled"), dimensions=_CROP),
 ])
 
 
-def _dice(*what) -> F.Column:
-    """A number from 0 to 1 that depends on its arguments alone."""
-    return F.pmod(F.xxhash64(*what), F.lit(10_000)) / 10_000.0
-
-
-def rows(spark: SparkSession, start: dt.datetime, days: int = 365, players: int = 25) -> DataFrame:
-    """player, metric, ts, value, venue: the same rows every time, made in parallel.  A goals or assists row exists only where there is one."""
-    grid = spark.range(days * players).select((F.col("id") % players + 1).alias("player"), F.floor(F.col("id") / players).cast("int").alias("day"))
-    grid = grid.withColumn("ts", literal(start) + F.make_dt_interval(days=F.col("day"), hours=F.lit(9)))
-    load = F.round(300 + 80 * F.sin(F.col("day") * 2 * 3.141592653589793 / 7) + 150 * _dice("player", "day"), 1)
-    daily = grid.where(_dice("player", "day", F.lit("rest")) > 0.1)
-    training = daily.select("player", F.lit("training-load").alias("metric"), "ts", load.alias("value"), F.lit("").alias("venue"))
-    wellness = daily.select("player", F.lit("wellness").alias("metric"), "ts", F.round(4 + 6 * _dice("day", "player"), 1).alias("value"), F.lit("").alias("venue"))
-    match = grid.where((F.col("day") % 7 == 5) & (_dice("player", "day", F.lit("squad")) > 0.2))
-    match = match.withColumn("venue", F.when(F.floor(F.col("day") / 7) % 2 == 0, "Home").otherwise("Away"))
-    made = F.array(
-        F.struct(F.lit("minutes").alias("metric"), F.round(20 + 70 * _dice("player", "day", F.lit("m"))).alias("value")),
-        F.struct(F.lit("goals").alias("metric"), F.floor(2.2 * _dice("player", "day", F.lit("g")) - 1).cast("double").alias("value")),
-        F.struct(F.lit("assists").alias("metric"), F.floor(2.0 * _dice("player", "day", F.lit("a")) - 0.8).cast("double").alias("value")),
-    )
-    events = match.select("player", F.explode(made).alias("e"), "ts", "venue").where("e.value > 0").select("player", "e.metric", "ts", "e.value", "venue")
-    return training.unionByName(wellness).unionByName(events)
-
-
-def source(spark: SparkSession, start: dt.datetime = dt.datetime(2025, 1, 1), days: int = 365, players: int = 25) -> LongSource:
-    return LongSource(spark, rows(spark, start, days, players), "player", "ts", {"venue": "venue"}, entity="player")
+def rows(spark: SparkSession, start: dt.datetime, days: int = 365, beds: int = 24) -> DataFrame:
+    """bed, metric, ts, value, crop: the same rows every time, made in parallel.
+
+    Every bed has one crop and is read each morning unless its sensor is out; it is picked every fourth day
+    while its crop is in season.
+    """
+    chance = lambda what: F.pmod(F.xxhash64("bed", "day", F.lit(what)), F.lit(1_000)) / 1_000.0
+    grid = spark.range(days * beds).select((F.col("id") % beds).alias("bed"), F.floor(F.col("id") / beds).cast("int").alias("day"))
+    grid = grid.withColumn("crop", F.element_at(F.array(*map(F.lit, ("bean", "leek", "chard"))), (F.col("bed") % 3 + 1).cast("int")))
+    year = F.sin(F.col("day") * 0.0172)  # -1 to 1 over a year
+    in_season, at_work = (F.col("day") + F.col("bed")) % 4 == 0, chance("sensor") > 0.04
+    reading = {
+        "moisture": F.when(at_work, F.round(55 + 20 * year * chance("rain"), 1)),
+        "water": F.when(at_work, F.round(30 - 12 * year + 8 * chance("water"))),
+        "stock": F.when(at_work, F.floor(200 - F.col("day") % 90 + 5 * F.col("bed"))),
+        "picked": F.when(in_season & (year > -0.5), F.round(2 + 6 * chance("picked"), 2)),
+        "spoiled": F.when(in_season & (chance("spoiled") < 0.3), F.round(chance("spoiled"), 2)),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in reading.items()]))
+    ts = literal(start) + F.make_dt_interval(days=F.col("day"), hours=F.lit(7))
+    return grid.select("bed", each.alias("r"), ts.alias("ts"), "crop").select("bed", "r.metric", "ts", "r.value", "crop").where("value is not null")
+
+
+def source(spark: SparkSession, start: dt.datetime = dt.datetime(2025, 1, 1), days: int = 365, beds: int = 24) -> LongSource:
+    return LongSource(spark, rows(spark, start, days, beds), "bed", "ts", {"crop": "crop"}, entity="bed")

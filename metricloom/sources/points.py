@@ -8,13 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import AT, VALUE, PointFrame, points
+from ..frame import AT, SEQUENCE, VALUE, PointFrame, points
 from ..operators.resample import LEAVE, Resample
 from ..timeaxis import INSTANT, LOCAL, NTZ, Context, TimeAxis, Timeframe, ambiguous, literal, pin_session, skipped, to_local, to_utc, to_utc_later, transitions
 
 #: The hidden dimension that tells the metrics of a batch apart.
 METRIC = "_metric"
-#: Longer entity lists become a semi join instead of an IN list.
+#: Longer entity lists become a semi join instead of an IN list; both compare the entity as a bigint.
 LONGEST_LIST = 1000
 
 
@@ -67,8 +67,12 @@ class Source:
     def points(self, metrics: Sequence[str], entities: Sequence[int] | None, timeframe: Timeframe | None, dims: Sequence[str] | None = None) -> PointFrame:
         raise NotImplementedError
 
-    def rolled(self, metrics, entities, timeframe, dims, resample: Resample, context: Context) -> PointFrame:
-        return resample.apply(self.points(metrics, entities, timeframe, dims), context)
+    def rolled(self, metrics, entities, timeframe, dims, resample: Resample, context: Context, by: Sequence[str] | None = None) -> PointFrame:
+        """The points bucketed by ``resample``, for each key, or with ``by`` for each value of these dimensions alone."""
+        raw = self.points(metrics, entities, timeframe, dims)
+        if by is not None:
+            raw = raw.having(raw.df, dims=tuple(by), entity=raw.entity if raw.entity in by else None)
+        return resample.apply(raw, context)
 
 
 @dataclass
@@ -80,18 +84,28 @@ class _Table(Source):
     dimensions: Mapping[str, str] = field(default_factory=dict)
     stored: StoredTime = UTC
     entity: str = "entity"
+    #: SQL expression (bigint) that ranks rows of one entity and time; without it they rank by value.
+    order_column: str | None = field(default=None, kw_only=True)
 
     def __post_init__(self):
         pin_session(self.spark)
         self.df = relation(self.spark, self.table)
         self.axis = TimeAxis(self.stored.kind)
 
+    def _sequence(self) -> list[Column]:
+        return [F.expr(self.order_column).cast("bigint").alias(SEQUENCE)] if self.order_column else []
+
+    def _entity(self) -> Column:
+        """The entity as a bigint; a column that is one stays bare, so that filters on it reach the scan."""
+        raw = F.expr(self.entity_column)
+        return raw if self.df.select(raw.alias("e")).dtypes[0][1] == "bigint" else raw.cast("bigint")
+
     def _rows(self, entities: Sequence[int] | None, timeframe: Timeframe | None) -> tuple[DataFrame, Column, Column]:
         """Filtered rows, with the entity and time expressions."""
         df, raw = self.df, F.col(self.time_column).cast(NTZ)
-        entity = F.expr(self.entity_column).cast("bigint")
+        entity = self._entity()
         if entities is not None and len(entities) <= LONGEST_LIST:
-            df = df.where(F.expr(self.entity_column).isin([int(e) for e in entities]))
+            df = df.where(entity.isin([int(e) for e in entities]))
         elif entities is not None:
             listed = self.spark.createDataFrame([(int(e),) for e in entities], "_entity long").distinct()
             df = df.join(listed, entity == F.col("_entity"), "left_semi")
@@ -134,8 +148,8 @@ class LongSource(_Table):
         metric = F.expr(self.metric_column)
         df = df.where(metric.isin(list(metrics)))
         named = {**self._dims(dims)}
-        out = df.select(metric.cast("string").alias(METRIC), entity.alias(self.entity), *[c.alias(d) for d, c in named.items()], at.alias(AT), _value(F.expr(self.value_column)).alias(VALUE))
-        return PointFrame(out, (self.entity, *named), self.entity, self.axis, hidden=(METRIC,))
+        out = df.select(metric.cast("string").alias(METRIC), entity.alias(self.entity), *[c.alias(d) for d, c in named.items()], at.alias(AT), _value(F.expr(self.value_column)).alias(VALUE), *self._sequence())
+        return PointFrame(out, (self.entity, *named), self.entity, self.axis, hidden=(METRIC,), sequenced=self.order_column is not None)
 
 
 @dataclass
@@ -147,20 +161,24 @@ class WideSource(_Table):
     def points(self, metrics, entities=None, timeframe=None, dims=None):
         df, entity, at = self._rows(entities, timeframe)
         named = self._dims(dims)
-        df = df.select(entity.alias(self.entity), *[c.alias(d) for d, c in named.items()], at.alias(AT), *[_value(F.expr(self.metrics[m])).alias(f"_v{i}") for i, m in enumerate(metrics)])
-        return PointFrame(self._long(df, metrics, [self.entity, *named]), (self.entity, *named), self.entity, self.axis, hidden=(METRIC,))
+        df = df.select(entity.alias(self.entity), *[c.alias(d) for d, c in named.items()], at.alias(AT), *[_value(F.expr(self.metrics[m])).alias(f"_v{i}") for i, m in enumerate(metrics)], *self._sequence())
+        sequence = [SEQUENCE] if self.order_column else []
+        out = self._long(df, metrics, [self.entity, *named, *sequence])
+        return PointFrame(out, (self.entity, *named), self.entity, self.axis, hidden=(METRIC,), sequenced=bool(sequence))
 
-    def rolled(self, metrics, entities, timeframe, dims, resample, context):
+    def rolled(self, metrics, entities, timeframe, dims, resample, context, by=None):
         """All metrics of a bucket in one aggregate row, made long afterwards; gaps are filled then."""
         df, entity, at = self._rows(entities, timeframe)
         named, calendar = self._dims(dims), context.calendar
         local = to_local(at, calendar.zone) if self.axis.kind == INSTANT else at
-        keys = [self.entity, *named]
-        df = df.select(entity.alias(self.entity), *[c.alias(d) for d, c in named.items()], at.alias("_at"), resample.period.bucket(local, calendar).alias(AT), *[_value(F.expr(self.metrics[m])).alias(f"_v{i}") for i, m in enumerate(metrics)])
-        order = [F.col("_at"), *[F.col(k) for k in sorted(keys)]]
+        every = {self.entity: entity, **named}
+        named = {k: every[k] for k in (every if by is None else by)}
+        keys = list(named)
+        df = df.select(*[c.alias(d) for d, c in named.items()], *self._sequence(), at.alias("_at"), resample.period.bucket(local, calendar).alias(AT), *[_value(F.expr(self.metrics[m])).alias(f"_v{i}") for i, m in enumerate(metrics)])
+        order = [F.col("_at"), *([F.col(SEQUENCE)] if self.order_column else []), *[F.col(k) for k in sorted(keys)]]
         made = df.where(F.col(AT).isNotNull()).groupBy(*keys, AT).agg(*[resample.agg.column(F.col(f"_v{i}"), order).alias(f"_v{i}") for i in range(len(metrics))])
         axis = TimeAxis(LOCAL, resample.period, calendar.zone if self.axis.kind == INSTANT else None)
-        frame = PointFrame(self._long(made, metrics, keys), (self.entity, *named), self.entity, axis, hidden=(METRIC,), unique=True)
+        frame = PointFrame(self._long(made, metrics, keys), tuple(named), self.entity if self.entity in named else None, axis, hidden=(METRIC,), unique=True)
         if resample.gap == LEAVE:
             return frame.having(frame.df.where(F.col(VALUE).isNotNull()))
         again = Resample(resample.period, type(resample.agg)("last"), resample.gap, resample.across) if type(resample.agg).__name__ == "Aggregator" else None
@@ -179,7 +197,7 @@ class MemorySource(Source):
         pin_session(spark)
         self.entity, self.axis, self.fetches = entity, TimeAxis(kind), 0
         kinds = {METRIC: "string", entity: "bigint"} | {d: "string" for d in dims}
-        self.frame = points(spark, rows, kinds, entity, self.axis)
+        self.frame = points(spark, rows, kinds, entity, self.axis)  # in row order
         self.known = tuple(dims)
 
     def points(self, metrics, entities=None, timeframe=None, dims=None):
@@ -191,7 +209,7 @@ class MemorySource(Source):
             at = F.col(AT)
             df = df.where(at.isNull() | ((at >= literal(timeframe.start)) & (at < literal(timeframe.end))))
         named = self.known if dims is None else tuple(dims)
-        out = PointFrame(df, (self.entity, *named), self.entity, self.axis, hidden=(METRIC,))
+        out = PointFrame(df, (self.entity, *named), self.entity, self.axis, hidden=(METRIC,), sequenced=True)
         return out.having(df)
 
 

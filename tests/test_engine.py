@@ -34,27 +34,23 @@ def d(text):
 
 
 CATALOG = Catalog([
-    Metric("minutes", "Minutes", dimensions=("venue",)), Metric("goals", "Goals", "goals", dimensions=("venue",)), Metric("assists", dimensions=("venue",)),
-    Metric("per-90", "Goals per 90", formula=Ratio("goals", "minutes", 90.0), dimensions=("venue",)),
-    Metric("involvements", formula=Linear((("goals", 1.0), ("assists", 1.0)))),
-    Metric("strict", formula=Linear((("goals", 1.0), ("assists", -1.0)), need_all=True)),
+    Metric("hours", dimensions=("area",)), Metric("parcels", "Parcels", "parcels", dimensions=("area",)), Metric("returns", dimensions=("area",)),
+    Metric("pace", "Parcels in 10 hours", formula=Ratio("parcels", "hours", 10.0), dimensions=("area",)),
+    Metric("handled", formula=Linear((("parcels", 1.0), ("returns", 1.0)))),
+    Metric("strict", formula=Linear((("parcels", 1.0), ("returns", -1.0)), need_all=True)),
 ])
 
 
 @pytest.fixture(scope="module")
-def matches(spark):
-    """Ten weekly matches: players 1 and 2 play 90 minutes, player 3 ten; 1 scores every match, 3 once."""
+def rounds(spark):
+    """Eight rounds, three days apart: courier 1 brings 24 parcels in 8 hours each time, 2 nothing in 6 hours, 4 nine parcels once in 1.5 hours a round."""
     rows = []
-    for i in range(10):
-        t = d("2025-01-04 15:00") + dt.timedelta(weeks=i)
-        venue = "Home" if i % 2 else "Away"
-        for player, minutes in ((1, 90.0), (2, 90.0), (3, 10.0)):
-            rows.append(("minutes", player, venue, t, minutes))
-        rows.append(("goals", 1, venue, t, 1.0))
-        if i == 3:
-            rows.append(("goals", 3, venue, t, 1.0))
-            rows.append(("assists", 2, venue, t, 2.0))
-    return MemorySource(spark, rows, ("venue",), entity="player")
+    for i in range(8):
+        t, area = d("2025-01-06 09:00") + dt.timedelta(days=3 * i), ("East", "West", "West")[i % 3]
+        rows += [("hours", 4, area, t, 1.5), ("parcels", 1, area, t, 24.0), ("hours", 2, area, t, 6.0), ("hours", 1, area, t, 8.0)]
+        if i == 5:
+            rows += [("returns", 2, area, t, 2.0), ("parcels", 4, area, t, 9.0)]
+    return MemorySource(spark, rows, ("area",), entity="courier")
 
 
 def found(frame, *columns):
@@ -62,49 +58,52 @@ def found(frame, *columns):
     return sorted(tuple(r[c] for c in columns) for r in frame.df.collect())
 
 
-def test_ratio_of_totals_and_minimum_denominator(matches):
-    engine = Engine(CATALOG, matches)
-    report = Report("per-90", transforms=(Total(MEAN, ("player",)),))
-    assert found(engine.frame(report)) == [(1, 1.0), (2, 0.0), (3, 0.9)]
-    assert found(engine.frame(report.with_(minimum_denominator=450.0))) == [(1, 1.0), (2, 0.0)]
-    assert found(engine.frame(report.with_(minimum_denominator=900.0))) == [(1, 1.0), (2, 0.0)]
-    assert found(engine.frame(Report("per-90", transforms=(Total(SUM, ("player",)), Top(1))))) == [(1, 1.0)]
+def test_ratio_of_totals_and_minimum_denominator(rounds):
+    engine = Engine(CATALOG, rounds)
+    report = Report("pace", transforms=(Total(MEAN, ("courier",)),))
+    assert found(engine.frame(report)) == [(1, 30.0), (2, 0.0), (4, 7.5)]
+    assert found(engine.frame(report.with_(minimum_denominator=48.0))) == [(1, 30.0), (2, 0.0)]
+    assert found(engine.frame(report.with_(minimum_denominator=48.5))) == [(1, 30.0)]
+    assert found(engine.frame(Report("pace", transforms=(Total(SUM, ("courier",)), Top(2))))) == [(1, 30.0), (4, 7.5)]
 
 
-def test_ratio_without_aggregation_joins_raw_points(matches):
-    assert Engine(CATALOG, matches).frame(Report("per-90")).df.where("value > 0").count() == 11
+def test_ratio_without_aggregation_joins_raw_points(rounds):
+    out = Engine(CATALOG, rounds).frame(Report("pace")).df
+    assert out.count() == 24 and sorted(r[VALUE] for r in out.where("value > 0").collect()) == [30.0] * 8 + [60.0]
 
 
-def test_linear_metrics(matches):
-    engine = Engine(CATALOG, matches)
-    assert found(engine.frame(Report("involvements", transforms=(Total(MEAN, ("player",)),)))) == [(1, 10.0), (2, 2.0), (3, 1.0)]
-    assert found(engine.frame(Report("strict", transforms=(Total(SUM, ("player",)),)))) == []
+def test_linear_metrics(rounds):
+    engine = Engine(CATALOG, rounds)
+    assert found(engine.frame(Report("handled", transforms=(Total(MEAN, ("courier",)),)))) == [(1, 192.0), (2, 2.0), (4, 9.0)]
+    assert found(engine.frame(Report("strict", transforms=(Total(SUM, ("courier",)),)))) == []
 
 
-def test_inputs_from_two_sources(spark, matches):
-    apart = {m: matches for m in ("minutes", "assists")} | {"goals": MemorySource(spark, [("goals", 1, "Home", d("2025-01-04 15:00"), 4.0)], ("venue",), entity="player")}
-    assert found(Engine(CATALOG, apart).frame(Report("per-90", transforms=(Total(SUM, ("player",)),)))) == [(1, 0.4), (2, 0.0), (3, 0.0)]
+def test_inputs_from_two_sources(spark, rounds):
+    apart = {m: rounds for m in ("hours", "returns")} | {"parcels": MemorySource(spark, [("parcels", 2, "East", d("2025-01-07 15:00"), 12.0)], ("area",), entity="courier")}
+    assert found(Engine(CATALOG, apart).frame(Report("pace", transforms=(Total(SUM, ("courier",)),)))) == [(1, 0.0), (2, 2.5), (4, 0.0)]
 
 
-def test_rolling_of_a_ratio_is_rolling_sum_over_rolling_sum(matches):
-    out = Engine(CATALOG, matches).frame(Report("per-90", entities=(3,), transforms=(Resample(WEEK, SUM), Rolling(dt.timedelta(days=28), MEAN))))
-    assert [r[VALUE] for r in out.df.orderBy(AT).collect()] == pytest.approx([0, 0, 0, 90 / 40, 0, 0, 0, 0, 0, 0])
-    filled = Engine(CATALOG, matches).frame(Report("per-90", Timeframe(d("2025-01-01"), d("2025-03-15")), (3,), (Resample(WEEK, SUM, ZERO, TIMEFRAME), Rolling(dt.timedelta(days=28), MEAN))))
-    assert [r[VALUE] for r in filled.df.orderBy(AT).collect()] == pytest.approx([0, 0, 0, *[90 / 40] * 4, 0, 0, 0, 0])
+def test_rolling_of_a_ratio_is_rolling_sum_over_rolling_sum(rounds):
+    """Three, two, two and one rounds in four weeks; the parcels of courier 4 come in the third."""
+    fortnight = Rolling(dt.timedelta(days=14), MEAN)
+    out = Engine(CATALOG, rounds).frame(Report("pace", entities=(4,), transforms=(Resample(WEEK, SUM), fortnight)))
+    assert [r[VALUE] for r in out.df.orderBy(AT).collect()] == pytest.approx([0, 0, 15, 0])
+    filled = Engine(CATALOG, rounds).frame(Report("pace", Timeframe(d("2025-01-06"), d("2025-02-03")), (4,), (Resample(WEEK, SUM, ZERO, TIMEFRAME), fortnight)))
+    assert [r[VALUE] for r in filled.df.orderBy(AT).collect()] == pytest.approx([0, 0, 15, 20])
 
 
-def test_plan_errors(matches):
-    engine = Engine(CATALOG, matches)
+def test_plan_errors(rounds):
+    engine = Engine(CATALOG, rounds)
     for report in (
-        Report("nothing"), Report("goals", dimensions=("player",)), Report("goals", dimensions=("weather",)), Report("goals", transforms=(GroupBy(SUM, ("venue",)),)),
-        Report("goals", transforms=(WhereIn("venue", ("Home",)),)), Report("goals", minimum_denominator=1.0), Report("per-90", transforms=(Total(SUM, ("player",)), ShareOf(("player",)))),
-        Report("per-90", transforms=(Resample(WEEK, SUM), WhereValue(1), GroupBy(SUM))), Report("per-90", transforms=(Top(1), Total(SUM))),
+        Report("nothing"), Report("parcels", dimensions=("courier",)), Report("parcels", dimensions=("weather",)), Report("parcels", transforms=(GroupBy(SUM, ("area",)),)),
+        Report("parcels", transforms=(WhereIn("area", ("East",)),)), Report("parcels", minimum_denominator=1.0), Report("pace", transforms=(Total(SUM, ("courier",)), ShareOf(("courier",)))),
+        Report("pace", transforms=(Resample(WEEK, SUM), WhereValue(1), GroupBy(SUM))), Report("pace", transforms=(Top(1), Total(SUM))),
     ):
         with pytest.raises(ValueError):
             engine.frame(report)
     with pytest.raises(ValueError):
-        Report("goals", entities=())
-    weekly = Report("goals", Timeframe(d("2025-01-01"), d("2025-02-01")), transforms=(Resample(WEEK, SUM),), comparison=Comparison(Baseline(1, "year")))
+        Report("parcels", entities=())
+    weekly = Report("parcels", Timeframe(d("2025-01-01"), d("2025-02-01")), transforms=(Resample(WEEK, SUM),), comparison=Comparison(Baseline(1, "year")))
     with pytest.raises(ValueError):
         engine.frame(weekly)
     assert engine.frame(weekly.with_(comparison=Comparison(Baseline(52, "week")))).df.count() == 0
@@ -191,19 +190,19 @@ def test_a_derived_metric_is_one_scan(spark, sf):
     assert plan.count("FileScan") == 1 and "Join" not in plan
 
 
-def test_caches(matches, spark):
+def test_caches(rounds, spark):
     slices, charts = SliceCache(), ChartCache()
-    engine = Engine(CATALOG, matches, slices=slices, charts=charts)
-    report = Report("goals", Timeframe(d("2025-01-01"), d("2026-01-01")), (1,), (Resample(WEEK, SUM),), View(series_by="player"))
+    engine = Engine(CATALOG, rounds, slices=slices, charts=charts)
+    report = Report("parcels", Timeframe(d("2025-01-01"), d("2026-01-01")), (1,), (Resample(WEEK, SUM),), View(series_by="courier"))
     first = engine.run(report)
     assert engine.run(report) is first and slices.loads == 1
-    both = engine.run(report.with_(entities=(1, 3)))
+    both = engine.run(report.with_(entities=(1, 4)))
     assert slices.loads == 2 and len(both["series"]) == 2
-    engine.invalidate(metric="goals", entity=3)
+    engine.invalidate(metric="parcels", entity=4)
     assert engine.run(report) is first
-    engine.run(report.with_(entities=(1, 3)))
+    engine.run(report.with_(entities=(1, 4)))
     assert slices.loads == 3
-    engine.invalidate(metric="minutes")
+    engine.invalidate(metric="hours")
     assert engine.run(report) is first
     engine.invalidate()
     assert engine.run(report) is not first and slices.loads == 4
@@ -211,61 +210,61 @@ def test_caches(matches, spark):
     assert charts.key(unnamed, engine.calendar) is None
     assert charts.key(report.with_(transforms=(Named("x", Map(lambda p: p.value)),)), engine.calendar) is not None
     small = ChartCache(3)
-    small.put(("a",), first, ("default", ("goals",), None))
+    small.put(("a",), first, ("default", ("parcels",), None))
     assert small.get(("a",)) is None
     assert stable_hash("") == 14695981039346656037 and stable_hash("a") != stable_hash("b")
     slices.clear()
 
 
-def test_run_many_equals_one_by_one(matches):
-    engine = Engine(CATALOG, matches)
+def test_run_many_equals_one_by_one(rounds):
+    engine = Engine(CATALOG, rounds)
     frame = Timeframe(d("2025-01-01"), d("2026-01-01"))
-    reports = [Report("goals", frame, None, (Total(SUM, ("player",)),), View("column", x="player")), Report("goals", frame, None, (Resample(WEEK, SUM), GroupBy(SUM))), Report("per-90", frame, None, (Total(SUM, ("player",)),), View("bar", x="player"))]
-    before = matches.fetches
+    reports = [Report("parcels", frame, None, (Total(SUM, ("courier",)),), View("column", x="courier")), Report("parcels", frame, None, (Resample(WEEK, SUM), GroupBy(SUM))), Report("pace", frame, None, (Total(SUM, ("courier",)),), View("bar", x="courier"))]
+    before = rounds.fetches
     together = engine.run_many(reports)
-    assert matches.fetches - before == 2
+    assert rounds.fetches - before == 2
     assert together == [engine.run(r) for r in reports]
 
 
-def test_chart_projection(matches):
-    engine = Engine(CATALOG, matches)
-    chart = engine.run(Report("goals", transforms=(Resample(MONTH, SUM),), view=View("column", series_by="player", status=TargetBand(4, 9, 2), stacked=True)))
+def test_chart_projection(rounds):
+    engine = Engine(CATALOG, rounds)
+    chart = engine.run(Report("parcels", transforms=(Resample(WEEK, SUM),), view=View("column", series_by="courier", status=TargetBand(40, 50, 10), stacked=True)))
     one = chart["series"][0]
-    assert (one["name"], [m["label"] for m in one["marks"]]) == ("1", ["2025-01", "2025-02", "2025-03"])
-    assert one["marks"][0]["at"] == 1735689600000 and [m["status"] for m in one["marks"]] == ["good", "good", "watch"]
-    assert chart["axes"][1] == {"kind": "linear", "unit": "goals", "min": 0.0, "max": 5.0}
+    assert (one["name"], [m["label"] for m in one["marks"]]) == ("1", ["2025-01-06", "2025-01-13", "2025-01-20", "2025-01-27"])
+    assert one["marks"][0]["at"] == 1736121600000 and [m["status"] for m in one["marks"]] == ["bad", "good", "good", "bad"]
+    assert chart["axes"][1] == {"kind": "linear", "unit": "parcels", "min": 0.0, "max": 72.0}
     again = loads(dumps(chart))
-    assert again["series"][0]["marks"][0]["value"] == 4 and "low" not in again["series"][0]["marks"][0] and again["stacked"] is True
-    share = engine.run(Report("goals", transforms=(Total(SUM, ("player",)), ShareOf(("player",))), view=View("pie", x="player")))
-    assert share["axes"][1]["unit"] == "%" and [m["label"] for m in share["series"][0]["marks"]] == ["1", "3"]
+    assert again["series"][0]["marks"][0]["value"] == 72 and "low" not in again["series"][0]["marks"][0] and again["stacked"] is True
+    share = engine.run(Report("parcels", transforms=(Total(SUM, ("courier",)), ShareOf(("courier",))), view=View("pie", x="courier")))
+    assert share["axes"][1]["unit"] == "%" and [m["label"] for m in share["series"][0]["marks"]] == ["1", "4"]
     assert TargetBand(1, 2).status(None) == "neutral" and formatted(1.5, "%") == "1.5%" and formatted(-0.0001) == "0" and formatted(None) == "–"
 
 
-def test_forecast_marks_carry_ranges(matches):
-    chart = Engine(CATALOG, matches).run(Report("goals", entities=(1,), transforms=(Resample(WEEK, SUM), Forecast(MeanModel(), Horizon(1), 80))))
-    last = chart["series"][0]["marks"][-1]
-    assert last["estimated"] and last["low"] == last["high"] == 1.0 and chart["series"][0]["marks"][0]["estimated"] is None
+def test_forecast_marks_carry_ranges(rounds):
+    chart = Engine(CATALOG, rounds).run(Report("parcels", entities=(1,), transforms=(Resample(WEEK, MEAN), Forecast(MeanModel(), Horizon(2), 90))))
+    marks = chart["series"][0]["marks"]
+    assert [m["estimated"] for m in marks] == [None] * 4 + [True] * 2 and all(m["low"] == m["high"] == 24.0 for m in marks[4:])
 
 
-def test_composed_charts(matches):
-    engine = Engine(CATALOG, matches)
-    monthly = (Resample(MONTH, SUM), GroupBy(SUM))
-    by_player = Report("goals", transforms=(Resample(MONTH, SUM),), view=View(series_by="player"))
-    chart = engine.run_chart(Chart((Series(Report("goals", transforms=monthly)), Series(Report("per-90", transforms=monthly), secondary=True, color="black"), Series(by_player)), "Goals"))
-    assert [s["name"] for s in chart["series"]] == ["Goals", "Goals per 90", "Goals · 1", "Goals · 3"]
-    assert [s["axis"] for s in chart["series"]][:2] == ["primary", "secondary"] and chart["series"][1]["color"] == "black" and len(chart["axes"]) == 3
+def test_composed_charts(rounds):
+    engine = Engine(CATALOG, rounds)
+    weekly = (Resample(WEEK, SUM), GroupBy(SUM))
+    by_courier = Report("parcels", transforms=(Resample(WEEK, SUM),), view=View(series_by="courier"))
+    chart = engine.run_chart(Chart((Series(by_courier), Series(Report("pace", transforms=weekly), secondary=True, color="black"), Series(Report("parcels", transforms=weekly), "all")), "Rounds"))
+    assert [s["name"] for s in chart["series"]] == ["Parcels · 1", "Parcels · 4", "Parcels in 10 hours", "all"]
+    assert [s["axis"] for s in chart["series"]] == ["primary", "primary", "secondary", "primary"] and chart["series"][2]["color"] == "black" and len(chart["axes"]) == 3
     with pytest.raises(ValueError):
-        engine.run_chart(Chart((Series(by_player), Series(Report("goals", transforms=(Total(SUM, ("player",)),), view=View(x="player"))))))
+        engine.run_chart(Chart((Series(by_courier), Series(Report("parcels", transforms=(Total(SUM, ("courier",)),), view=View(x="courier"))))))
 
 
 def test_dashboard_runs_and_focuses(spark, sf):
     engine = Engine(q.ORDERS, q.tenths(spark, sf))
     context = DashboardContext(Timeframe(d("1997-01-01"), d("1999-01-01")))
     out = engine.run_dashboard(parse(q.DASHBOARD), context)
-    assert out["title"] == "Orders" and len(out["charts"]) == 7 and all(c["series"] for c in out["charts"])
-    assert [s["axis"] for s in out["charts"][0]["series"]] == ["primary", "secondary"] and out["charts"][2]["stacked"]
-    assert any(m["estimated"] for m in out["charts"][3]["series"][0]["marks"]) and len(out["charts"][4]["series"][0]["marks"]) == 3
-    assert len(engine.run_dashboard(parse(q.DASHBOARD), context.focused(3))["charts"][6]["series"]) == 1
+    assert out["title"] == "Order desk" and len(out["charts"]) == 8 and all(c["series"] for c in out["charts"])
+    assert [s["axis"] for s in out["charts"][1]["series"]] == ["primary", "secondary"] and out["charts"][0]["stacked"] and len(out["charts"][0]["series"]) == 5
+    assert sum(bool(m["estimated"]) for m in out["charts"][5]["series"][0]["marks"]) == 6 and len(out["charts"][3]["series"][0]["marks"]) == 4
+    assert len(engine.run_dashboard(parse(q.DASHBOARD), context.focused(3))["charts"][3]["series"][0]["marks"]) == 1
 
 
 @pytest.mark.parametrize(
@@ -285,14 +284,14 @@ def test_definition_errors_say_where(change, path):
     assert error.value.path.endswith(path)
 
 
-def test_tools(matches):
-    engine = Engine(CATALOG, matches)
-    assert "per-90" in [m["id"] for m in tools.describe(engine)["metrics"]]
-    chart = json.loads(tools.query(engine, "goals", [1], 9999, "weekly-sum", "sparkles", now=d("2025-06-01 12:00")))
-    assert chart["kind"] == "line" and len(chart["series"][0]["marks"]) == 10
-    report = tools.request_to_report({"metric": "goals", "entities": [1], "from": "2025-01-01", "to": "2025-02-01", "transform": "resample", "period": "day", "aggregator": "sum", "gap": "odd"})
-    assert engine.frame(report).df.count() == 4
-    assert tools.request_to_report({"metric": "goals", "entities": [1], "from": "2025-01-01", "to": "2025-02-01"}).transforms == ()
+def test_tools(rounds):
+    engine = Engine(CATALOG, rounds)
+    assert "pace" in [m["id"] for m in tools.describe(engine)["metrics"]]
+    chart = json.loads(tools.query(engine, "parcels", [1], 9999, "weekly-sum", "sparkles", now=d("2025-06-01 12:00")))
+    assert chart["kind"] == "line" and len(chart["series"][0]["marks"]) == 4
+    report = tools.request_to_report({"metric": "parcels", "entities": [1], "from": "2025-01-01", "to": "2025-02-01", "transform": "resample", "period": "day", "aggregator": "sum", "gap": "odd"})
+    assert engine.frame(report).df.count() == 8
+    assert tools.request_to_report({"metric": "parcels", "entities": [1], "from": "2025-01-01", "to": "2025-02-01"}).transforms == ()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -359,19 +358,21 @@ def test_demo_data_recipes_and_labels(spark):
     from metricloom.plans import recipes
     from metricloom.sources import demo
 
-    engine = Engine(demo.CATALOG, demo.source(spark, days=120, players=4), labels=lambda dim, value: f"{dim} #{value}")
-    chart = engine.run(Report("goals-per-90", transforms=(Total(SUM, ("player",)),), view=View("column", x="player")))
-    assert [m["label"] for m in chart["series"][0]["marks"]][0].startswith("player #")
-    ratio = recipes.acute_to_chronic(engine.frame(Report("training-load", transforms=(Resample(DAY, SUM, ZERO),))))
-    assert ratio.df.where("value < 0 or value > 4").count() == 0 and ratio.df.count() > 400
+    engine = Engine(demo.CATALOG, demo.source(spark, days=120, beds=6), labels=lambda dim, value: f"{dim} #{value}")
+    chart = engine.run(Report("yield", transforms=(Total(SUM, ("bed",)),), view=View("column", x="bed")))
+    assert [m["label"] for m in chart["series"][0]["marks"]] == [f"bed #{i}" for i in range(6)]
+    ratio = recipes.acute_to_chronic(engine.frame(Report("water", transforms=(Resample(DAY, SUM, ZERO),))))
+    assert ratio.df.where("value < 0 or value > 4").count() == 0 and ratio.df.count() > 650
     year = Timeframe(d("2025-01-01"), d("2026-01-01"))
-    pace = engine.frame(recipes.on_pace(Report("minutes", year)))
+    pace = engine.frame(recipes.on_pace(Report("picked", year)))
     assert pace.ranged and pace.df.where("estimated").count() > 0
-    assert set(recipes.gap_policies(Report("goals", year), WEEK, SUM)) == {"leave-missing", "zero-fill", "carry-forward", "interpolate"}
-    assert engine.frame(recipes.running_total(Report("minutes", year))).df.count() == 4
-    assert engine.frame(recipes.year_on_year(Report("goals", year))).df.count() == 0
-    load = engine.frame(Report("training-load", transforms=(Resample(DAY, SUM),)))
+    assert set(recipes.gap_policies(Report("sold", year), WEEK, SUM)) == {"leave-missing", "zero-fill", "carry-forward", "interpolate"}
+    assert engine.frame(recipes.running_total(Report("picked", year))).df.count() == 4
+    assert engine.frame(recipes.year_on_year(Report("spoiled", year))).df.count() == 0
+    load = engine.frame(Report("water", transforms=(Resample(DAY, SUM),)))
     assert recipes.moving_target(load, load).df.where("value = 100").count() == load.df.where("value > 0").count()
+    plants = engine.frame(Report("stock", transforms=(Resample(WEEK, LAST),), dimensions=("crop",)))
+    assert set(plants.dims) == {"bed", "crop"} and plants.df.count() == 6 * 18
 
 
 def test_function_sources(spark):

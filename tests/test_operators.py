@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from metricloom.frame import AT, ESTIMATED, HIGH, LOW, VALUE, points
 from metricloom.functions.aggregators import COUNT, FIRST, LAST, MAX, MEAN, MEDIAN, MIN, STDDEV, SUM, CustomAggregator, percentile, resolve, try_resolve
 from metricloom.functions.baseline import Baseline, CalendarShift
-from metricloom.functions.periods import DAY, HOUR, MONTH, WEEK, Boundaries, Span, every, period_named
+from metricloom.functions.periods import DAY, HOUR, MONTH, SEASON, WEEK, Boundaries, Span, every, period_named
 from metricloom.functions.statistics import normal_quantile, student_t_quantile
 from metricloom.operators.base import Filter, Map, Named, Rekey, Tag, WhereIn, WhereNotIn, WhereValue, merge, run
 from metricloom.operators.combine import combine, compare, shared_axis
@@ -269,6 +269,39 @@ def test_custom_aggregators_and_calendars(spark):
     f = daily(spark, [1.0, 5, None, 2])
     assert values(Resample(MONTH, spread).apply(f)) == [4.0]
     assert values(Cumulative(spread).apply(f)) == [0, 4, 4, 4]
+    last = CustomAggregator("latest", function=lambda v: v.iloc[-1])
+    rows = [(k % 3, d("2025-01-01") + dt.timedelta(hours=7 * (k // 6)), float(k * 37 % 101)) for k in range(120)]
+    raw = points(spark, rows, {"e": "bigint"}, "e", TimeAxis(LOCAL))
+    raw = raw.having(raw.df.repartition(7, "value"))
+    for make in (lambda a: Resample(DAY, a), lambda a: Total(a), lambda a: Total(a, ("e",)), lambda a: GroupBy(a), lambda a: Cumulative(a), lambda a: Rolling(dt.timedelta(hours=8), a)):
+        mine, known = ([tuple(r[c] for c in (*f.keys, AT, VALUE)) for r in f.df.collect()] for f in (make(last).apply(raw), make(LAST).apply(raw)))
+        assert sorted(mine, key=repr) == sorted(known, key=repr) and mine
+
+
+def test_ties_do_not_depend_on_partitions(spark):
+    """Four rows at each time, in the source's order, and without one by value."""
+    rows = [(1, d("2025-01-01") + dt.timedelta(days=k // 4), float(k * 37 % 11)) for k in range(40)]
+    ordered = points(spark, rows, {"e": "bigint"}, "e", TimeAxis(LOCAL))
+    bare = ordered.having(ordered.df, sequenced=False)
+    totals = [sum(r[2] for r in rows[: i + 1]) for i in range(40)]
+    sorted_rows = sorted(rows, key=lambda r: (r[1], r[2]))
+    for parts in (1, 3, 9):
+        f, g = (x.having(x.df.repartition(parts, "value")) for x in (ordered, bare))
+        assert sorted(r[VALUE] for r in Cumulative(SUM).apply(f).df.collect()) == sorted(totals)
+        assert values(Resample(DAY, LAST).apply(f)) == [rows[4 * i + 3][2] for i in range(10)] and values(Resample(DAY, FIRST).apply(f)) == [rows[4 * i][2] for i in range(10)]
+        assert values(Resample(DAY, LAST).apply(g)) == [sorted_rows[4 * i + 3][2] for i in range(10)]
+        rolled = {(r[AT], r["_sequence"]): r[VALUE] for r in Rolling(dt.timedelta(days=2), SUM).apply(f).df.collect()}
+        assert all(rolled[(rows[i][1], i)] == sum(r[2] for r in rows[max(0, 4 * (i // 4 - 1)) : i + 1]) for i in range(40))
+        means = {(r[AT], r["_sequence"]): r[VALUE] for r in Rolling(dt.timedelta(days=1), MEAN).apply(f).df.collect()}
+        assert all(means[(rows[i][1], i)] == pytest.approx(sum(r[2] for r in rows[4 * (i // 4) : i + 1]) / (i % 4 + 1)) for i in range(40))
+        firsts = {(r[AT], r["_sequence"]): r[VALUE] for r in Rolling(dt.timedelta(days=1), FIRST).apply(f).df.collect()}
+        assert all(firsts[(rows[i][1], i)] == rows[4 * (i // 4)][2] for i in range(40))
+        both = combine(f, f, lambda a, b: b)
+        assert sorted((r[AT], r[VALUE]) for r in both.df.collect()) == sorted((r[1], rows[4 * (i // 4) + 3][2]) for i, r in enumerate(rows))
+
+
+def test_custom_calendars(spark):
+    f = daily(spark, [1.0, 5, None, 2])
     terms = Boundaries("term", (d("2025-01-02"), d("2025-01-04")))
     assert values(Resample(terms, SUM, ZERO).apply(f), AT, VALUE) == [(d("2025-01-02"), 5), (d("2025-01-04"), 2)]
 
@@ -278,8 +311,10 @@ def test_baselines():
     shift = Baseline(1, "month").resolve(None, london)
     assert shift.back(Timeframe(d("2025-03-31"), d("2025-04-30")), Calendar()) == Timeframe(d("2025-02-28"), d("2025-03-30"))
     assert shift.back(Timeframe(d("2025-04-29 23:00"), d("2025-05-01")), london).start == d("2025-03-30 00:00")
-    assert CalendarShift(12, 0).problem(WEEK, "year") and CalendarShift(0, 364).problem(WEEK, "week") is None
-    assert CalendarShift(0, 7).problem(MONTH, "week") and CalendarShift(1, 0).problem(DAY, "month") and CalendarShift(1, 0).problem(None, "month") is None
+    fits = {(0, 1): "day 15m", (0, 7): "day week 15m", (0, 364): "day week 15m", (1, 0): "month", (12, 0): "month season", (48, 0): "month season", (600, 0): "month season", (1, 7): ""}
+    for (months, days), grains in fits.items():
+        assert {p.name for p in (DAY, WEEK, MONTH, SEASON, Span(900)) if CalendarShift(months, days).problem(p) is None} == set(grains.split())
+    assert CalendarShift(1, 0).problem(None) is None
     with pytest.raises(ValueError):
         Baseline(0, "day")
 
