@@ -24,7 +24,7 @@ from .base import Transform
 from .resample import densified
 from .windows import Cumulative
 
-#: Smoothing factors that Holt-Winters tries.
+#: The smoothing factors that Holt-Winters tries, and by how much a fit must be better to replace an earlier one.
 FACTORS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 BETTER = 1e-12
 

@@ -13,6 +13,7 @@ from ..functions.periods import Period
 from ..timeaxis import INSTANT, LOCAL, MICRO, Calendar, Context, TimeAxis, literal, to_local
 from .base import Transform
 
+#: The names of gap policies and spans in requests and dashboards.
 LEAVE, ZERO, CARRY, INTERPOLATE = GAPS = ("leave-missing", "zero-fill", "carry-forward", "interpolate")
 OBSERVED, TIMEFRAME = SPANS = ("observed", "timeframe")
 

@@ -10,11 +10,14 @@ from .functions.chart_json import dumps
 from .functions.periods import WEEK, period_named
 from .operators.resample import GAPS, LEAVE, Resample
 from .operators.windows import Rolling
+from .plans.catalog import Metric
 from .plans.engine import Engine
 from .plans.spec import KINDS, Report, View
 from .timeaxis import Timeframe
 
+#: The longest look back, the kinds of charts, and the named recipes of a query.
 MOST_DAYS = 400
+CHARTS = ("line", "column", "area")
 RECIPES = {
     "raw": (),
     "weekly-mean": (Resample(WEEK, MEAN),),
@@ -24,20 +27,28 @@ RECIPES = {
 }
 
 
+def described(metric: Metric) -> dict:
+    return {"id": metric.id, "name": metric.title, "unit": metric.unit, "grain": metric.grain, "dimensions": list(metric.dimensions)}
+
+
 def describe(engine: Engine) -> dict:
     """What a query may ask for."""
-    metrics = [{"id": m.id, "name": m.title, "unit": m.unit, "grain": m.grain, "dimensions": list(m.dimensions)} for m in engine.catalog.metrics.values()]
-    return {"metrics": metrics, "transforms": list(RECIPES), "chart_kinds": ["line", "column", "area"]}
+    return {"metrics": [described(m) for m in engine.catalog.metrics.values()], "transforms": list(RECIPES), "chart_kinds": list(CHARTS)}
+
+
+def past(days: int, now: dt.datetime | None) -> Timeframe:
+    """So many whole days and today, by the UTC clock; from 1 to MOST_DAYS."""
+    moment = now or dt.datetime.now(dt.timezone.utc)
+    tomorrow = dt.datetime.combine(moment.date() + dt.timedelta(days=1), dt.time())
+    return Timeframe(tomorrow - dt.timedelta(days=1 + sorted((1, days, MOST_DAYS))[1]), tomorrow)
 
 
 def query(engine: Engine, metric: str, entities: list[int], past_days: int = 28, transform: str = "raw", chart: str = "line", now: dt.datetime | None = None) -> str:
-    """The chart of a metric over the past days (1 to 400) as JSON; unknown transforms are raw, unknown charts lines."""
-    today = (now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).replace(hour=0, minute=0, second=0, microsecond=0)
-    days = min(max(past_days, 1), MOST_DAYS)
-    frame = Timeframe(today - dt.timedelta(days=days), today + dt.timedelta(days=1))
-    entity = engine.source(metric if metric in engine.catalog.metrics and engine.catalog[metric].formula is None else engine.catalog[metric].formula.inputs[0]).entity
-    view = View(chart if chart in ("line", "column", "area") else "line", series_by=entity)
-    return dumps(engine.run(Report(metric, frame, tuple(entities), RECIPES.get(transform, ()), view)))
+    """The chart of a metric over the past days as JSON, a series for each entity; unknown transforms are raw, unknown charts lines."""
+    formula = engine.catalog[metric].formula
+    entity = engine.source(formula.inputs[0] if formula else metric).entity
+    asked = Report(metric, past(past_days, now), tuple(entities), RECIPES.get(transform, RECIPES["raw"]), View(chart if chart in CHARTS else CHARTS[0], series_by=entity))
+    return dumps(engine.run(asked))
 
 
 def request_to_report(request: Mapping) -> Report:
