@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +13,27 @@ from pyspark.sql import functions as F
 from ..frame import AT, ESTIMATED, HIGH, LOW, VALUE, PointFrame
 from ..timeaxis import INSTANT, Calendar, to_local
 
-#: Theme: series colours in order, and the colours of status.
-PALETTE = ("blue", "orange", "green", "red", "purple", "teal", "pink", "gray")
-STATUS_COLORS = {"good": "green", "watch": "amber", "bad": "red", "neutral": None}
+#: Points that a report may bring to the driver; a report with more raises an error.
+MOST_MARKS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Theme:
+    """The colours of series, in turn, and of status; marks without a status have their series' colour."""
+
+    palette: tuple[str, ...] = ("blue", "orange", "green", "red", "purple", "teal", "pink", "gray")
+    good: str = "green"
+    watch: str = "amber"
+    bad: str = "red"
+
+    def series(self, i: int) -> str:
+        return self.palette[i % len(self.palette)]
+
+    def mark(self, status: str, series: str) -> str:
+        return series if status == "neutral" else getattr(self, status)
+
+
+THEME = Theme()
 
 
 def label_column(frame: PointFrame, calendar: Calendar) -> Column:
@@ -34,9 +53,7 @@ def marks_frame(frame: PointFrame, view, calendar: Calendar = Calendar()):
     label = label_column(frame, calendar) if timed else F.col(view.x).cast("string")
     status = F.lit("neutral")
     if view.status is not None:
-        v, band = F.col(VALUE), view.status
-        status = F.when(v.isNull(), "neutral").when((v >= band.low) & (v <= band.high), "good")
-        status = status.when((v >= band.low - band.margin) & (v <= band.high + band.margin), "watch").otherwise("bad")
+        status = F.when(F.col(VALUE).isNotNull(), view.status.column(F.col(VALUE))).otherwise("neutral")
     at = F.unix_millis(F.col(AT).cast("timestamp")) if timed else F.lit(None).cast("bigint")
     extra = [F.col(c) for c in frame.extras]
     return frame.df.select(series.alias("series"), label.alias("label"), at.alias("at_millis"), F.col(VALUE), status.alias("status"), *extra, *[F.col(k).alias(f"_{k}") for k in frame.keys])
@@ -49,26 +66,37 @@ def stacked_extent(marks) -> tuple[Column, Column]:
     return up, down
 
 
-def project(frame: PointFrame, view, calendar: Calendar, name: str, labels: Callable[[str, str], str] | None = None) -> dict:
-    """Collects a frame (the only collect of a report) and makes its chart; ``labels`` names a dimension's values."""
+def project(
+    frame: PointFrame, view, calendar: Calendar, name: str, labels: Callable[[str, str], str] | None = None,
+    theme: Theme = THEME, most: int = MOST_MARKS,
+) -> dict:
+    """Collects a frame (the only collect of a report) and makes its chart; ``labels`` names a dimension's values.
+
+    A frame of more than ``most`` points raises ValueError: the driver never holds more.
+    """
     named = labels or (lambda dim, value: value)
     timed = view.x == "time"
     order = ["at_millis", *[f"_{k}" for k in frame.keys]]
-    rows = [r.asDict() for r in marks_frame(frame, view, calendar).orderBy(*order).collect()]
+    rows = [r.asDict() for r in marks_frame(frame, view, calendar).limit(most + 1).orderBy(*order).collect()]
+    if len(rows) > most:
+        raise ValueError(f"a chart has at most {most:,} points; bucket, group or filter the report")
     found: dict[str, list[dict]] = {}
     for r in rows:
-        mark = {"label": r["label"] if timed else named(view.x, r["label"]), "at": r["at_millis"], "value": r[VALUE], "status": r["status"], "color": STATUS_COLORS[r["status"]]}
+        mark = {"label": r["label"] if timed else named(view.x, r["label"]), "at": r["at_millis"], "value": r[VALUE], "status": r["status"]}
         mark |= {"estimated": r.get(ESTIMATED) or None, "low": r.get(LOW), "high": r.get(HIGH)}
         found.setdefault(r["series"], []).append(mark)
-    series = [{"name": named(view.series_by, s) if s else name, "key": s, "color": PALETTE[i % len(PALETTE)], "axis": "primary", "marks": m} for i, (s, m) in enumerate(found.items())]
+    series = [{"name": named(view.series_by, s) if s else name, "key": s, "axis": "primary"} | colored(m, theme.series(i), theme) for i, (s, m) in enumerate(found.items())]
     axes = [{"kind": "temporal" if timed else "category", "title": None if timed else view.x}, value_axis(series, view.stacked, view.unit)]
     return {"kind": view.kind, "title": view.title, "series": series, "axes": axes, "legend": {"visible": len(series) > 1}, "annotations": annotations(view), "stacked": view.stacked or None}
 
 
+def colored(marks: list[dict], color: str, theme: Theme) -> dict:
+    return {"color": color, "marks": [m | {"color": theme.mark(m["status"], color)} for m in marks]}
+
+
 def annotations(view) -> list[dict]:
-    if view.status is None:
-        return []
-    return [{"kind": "band", "label": "target", "status": "good", "from": view.status.low, "to": view.status.high}]
+    ranges = [] if view.status is None else view.status.marked()
+    return [{"kind": "band", "label": label, "status": status, "from": low, "to": high} for label, status, low, high in ranges]
 
 
 def value_axis(series: list[dict], stacked: bool, unit: str | None) -> dict:
@@ -88,7 +116,7 @@ def value_axis(series: list[dict], stacked: bool, unit: str | None) -> dict:
     return {"kind": "linear", "unit": unit, "min": low, "max": high}
 
 
-def compose(parts: list[tuple], title: str | None) -> dict:
+def compose(parts: list[tuple], title: str | None, theme: Theme = THEME) -> dict:
     """Several reports' charts as one.  They share the x axis; series are named, coloured in turn, and may use a second value axis."""
     if len({view["axes"][0]["kind"] for _, view, _ in parts}) > 1:
         raise ValueError("the series of a chart must share the x axis: all over time or all over a dimension")
@@ -98,8 +126,8 @@ def compose(parts: list[tuple], title: str | None) -> dict:
         several = len(view["series"]) > 1 or (view["series"] and view["series"][0]["key"])
         for s in view["series"]:
             shown = f"{base} · {s['name']}" if several else base
-            color = series.color or PALETTE[len(out) % len(PALETTE)]
-            out.append(s | {"name": shown, "color": color, "axis": "secondary" if series.secondary else "primary", "kind": view["kind"]})
+            own = colored(s["marks"], series.color or theme.series(len(out)), theme)
+            out.append(s | own | {"name": shown, "axis": "secondary" if series.secondary else "primary", "kind": view["kind"]})
     for which in ("primary", "secondary"):
         used = [(s, v) for s, v, _ in parts if s.secondary == (which == "secondary")]
         if used:

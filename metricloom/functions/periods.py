@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..timeaxis import NTZ, Calendar, literal, micros
+from ..timeaxis import NTZ, Calendar, Seasons, literal, micros
 
 DAY_SECONDS = 86_400
 
@@ -19,12 +19,20 @@ class Period:
 
     name: str
 
+    def on(self, calendar: Calendar) -> Period:
+        """The period as a calendar has it."""
+        return self
+
     def bucket(self, at: Column, calendar: Calendar) -> Column:
         raise NotImplementedError
 
     def after(self, at: Column, n: int | Column = 1) -> Column:
         raise NotImplementedError
 
+    def following(self, at: Column) -> Column:
+        """Where the bucket that starts at ``at`` ends."""
+        return self.after(at)
+
     def series(self, first: Column, last: Column) -> Column:
         """The array of bucket starts from ``first`` to ``last``, both inclusive; empty if reversed."""
         steps = F.sequence(first, last, self.step())
@@ -116,6 +124,9 @@ class Month(Period):
 class Season(Period):
     name = "season"
 
+    def on(self, calendar):
+        return ListedSeasons("season", calendar.season.starts[:-1], calendar.season) if isinstance(calendar.season, Seasons) else self
+
     def bucket(self, at, calendar):
         month, day = calendar.season
         begun = (F.month(at) > month) | ((F.month(at) == month) & (F.dayofmonth(at) >= day))
@@ -151,6 +162,25 @@ class Boundaries(Period):
         return F.filter(self._array(), lambda s: (s >= first) & (s <= last))
 
 
+@dataclass(frozen=True)
+class ListedSeasons(Boundaries):
+    """The seasons of a calendar that lists them."""
+
+    seasons: Seasons
+
+    def bucket(self, at, calendar):
+        return F.when(at < literal(self.seasons.starts[-1]), super().bucket(at, calendar))
+
+    def following(self, at):
+        return F.coalesce(self.after(at), F.when(at.isNotNull(), literal(self.seasons.starts[-1])))
+
+    def label(self, at):
+        named = F.lit("")
+        for i, start in enumerate(self.starts):
+            named = F.when(at >= literal(start), self.seasons.label(i)).otherwise(named)
+        return named
+
+
 DAY, WEEK, MONTH, SEASON, HOUR = Day(), Week(), Month(), Season(), Span(3600)
 #: Named periods and the units of spans.
 NAMED = {"day": DAY, "week": WEEK, "month": MONTH, "season": SEASON, "hour": HOUR}

@@ -170,7 +170,8 @@ class Horizon:
         period = frame.axis.grain
         if self.buckets is not None:
             return period.after(latest, self.buckets)
-        following = SEASON.after(SEASON.bucket(latest, context.calendar))
+        season = SEASON.on(context.calendar)
+        following = season.following(season.bucket(latest, context.calendar))
         return F.array_max(F.filter(period.series(latest, following), lambda b: b < following))
 
 

@@ -44,16 +44,16 @@ class Resample(Transform):
     def apply(self, frame, context=Context()):
         if frame.estimates:
             raise ValueError("a forecast can't be resampled; resample first, then forecast")
-        calendar, keys = context.calendar, list(frame.keys)
+        calendar, keys, period = context.calendar, list(frame.keys), self.period.on(context.calendar)
         zone = calendar.zone if frame.axis.kind == INSTANT else frame.axis.zone
         local = to_local(F.col(AT), calendar.zone) if frame.axis.kind == INSTANT else F.col(AT)
-        rows = frame.df.where(F.col(AT).isNotNull()).withColumn("_bucket", self.period.bucket(local, calendar)).where("_bucket is not null")
+        rows = frame.df.where(F.col(AT).isNotNull()).withColumn("_bucket", period.bucket(local, calendar)).where("_bucket is not null")
         made = rows.groupBy(*keys, "_bucket").agg(self.agg.column(F.col(VALUE), frame.order()).alias(VALUE))
         made = made.select(*keys, F.col("_bucket").alias(AT), F.nanvl(VALUE, F.lit(None).cast("double")).alias(VALUE))
-        axis = TimeAxis(LOCAL, self.period, zone)
+        axis = TimeAxis(LOCAL, period, zone)
         if self.gap == LEAVE:
             return frame.having(made.where(F.col(VALUE).isNotNull()), axis=axis, unique=True)
-        filled = fill(densified(made, keys, self.period, self._window(frame, context, zone)), keys, self.gap)
+        filled = fill(densified(made, keys, period, self._window(frame, context, zone)), keys, self.gap)
         return frame.having(filled, axis=axis, unique=True)
 
     def _window(self, frame: PointFrame, context: Context, zone: str | None) -> tuple[Column, Column] | None:
@@ -63,7 +63,8 @@ class Resample(Transform):
         calendar = context.calendar
         clock = (lambda t: Calendar(zone).local(t)) if zone else (lambda t: t)
         first, last = clock(frame_of_time.start), clock(frame_of_time.end - MICRO)
-        return self.period.bucket(literal(first), calendar), self.period.bucket(literal(last), calendar)
+        period = self.period.on(calendar)
+        return period.bucket(literal(first), calendar), period.bucket(literal(last), calendar)
 
 
 def densified(buckets: DataFrame, keys: list[str], period: Period, window: tuple[Column, Column] | None = None) -> DataFrame:

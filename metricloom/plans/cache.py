@@ -134,12 +134,12 @@ class ChartCache:
     def __init__(self, most_marks: int = 1_000_000, store: Store | None = None):
         self.store = store or MemoryStore(most_marks)
 
-    def key(self, report, calendar) -> tuple | None:
+    def key(self, report, calendar, theme=None) -> tuple | None:
         """None if a transform has no stable identity."""
         identities = [t.identity for t in report.transforms]
         if None in identities:
             return None
-        return (report.tenant, report.metric, report.entities, report.timeframe, tuple(identities), report.view, report.dimensions, report.minimum_denominator, report.comparison, calendar)
+        return (report.tenant, report.metric, report.entities, report.timeframe, tuple(identities), report.view, report.dimensions, report.minimum_denominator, report.comparison, calendar, theme)
 
     def get(self, key: tuple) -> dict | None:
         return self.store.get(key)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..frame import AT, VALUE, PointFrame
 from ..functions.aggregators import Aggregator
-from ..functions.charts import compose, project
+from ..functions.charts import MOST_MARKS, THEME, Theme, compose, project
 from ..operators import combine
 from ..operators.base import Transform, run
 from ..operators.groups import GroupBy
@@ -69,15 +69,17 @@ def folded_by(transforms: Sequence[Transform]) -> tuple[str, ...] | None:
 
 
 class Engine:
-    """``sources`` is one source, or one for each stored metric; ``labels`` names the values of dimensions in charts."""
+    """``sources`` is one source, or one for each stored metric; ``labels`` names the values of dimensions in charts, ``theme`` colours
+    them, and a chart of more than ``most_marks`` points is refused."""
 
     def __init__(
         self, catalog: Catalog, sources: Source | dict[str, Source], calendar: Calendar = Calendar(),
         slices: SliceCache | None = None, charts: ChartCache | None = None, labels: Callable[[str, str], str] | None = None,
+        theme: Theme = THEME, most_marks: int = MOST_MARKS,
     ):
         self.catalog, self.calendar = catalog, calendar
         self.sources = sources
-        self.slices, self.charts, self.labels = slices, charts, labels
+        self.slices, self.charts, self.labels, self.theme, self.most_marks = slices, charts, labels, theme, most_marks
         self._shared: dict[tuple, PointFrame] = {}
 
     # Analysis
@@ -229,11 +231,11 @@ class Engine:
         return "%" if percent or any(t.shares for t in report.transforms) else self.catalog[report.metric].unit
 
     def run(self, report: Report) -> dict:
-        key = None if self.charts is None else self.charts.key(report, self.calendar)
+        key = None if self.charts is None else self.charts.key(report, self.calendar, self.theme)
         if key is not None and (found := self.charts.get(key)) is not None:
             return found
         view = replace(report.view, unit=self.unit(report))
-        chart = project(self.frame(report), view, self.calendar, self.catalog[report.metric].title, self.labels)
+        chart = project(self.frame(report), view, self.calendar, self.catalog[report.metric].title, self.labels, self.theme, self.most_marks)
         if key is not None:
             self.charts.put(key, chart, (report.tenant, self._inputs_of(report), report.entities))
         return chart
@@ -248,7 +250,7 @@ class Engine:
         for r in reports if len(reports) > 1 and self.slices is None else ():
             for load in self._loads(r):
                 wanted.setdefault(load.key, []).append(load)
-        sharing = Engine(self.catalog, self.sources, self.calendar, self.slices, self.charts, self.labels)
+        sharing = Engine(self.catalog, self.sources, self.calendar, self.slices, self.charts, self.labels, self.theme, self.most_marks)
         try:
             for key, loads in wanted.items():
                 if len(loads) > 1:
@@ -268,7 +270,7 @@ class Engine:
         out = []
         for c in charts:
             parts = [(s, next(views), self.catalog[s.report.metric].title) for s in c.series]
-            out.append(compose(parts, c.title))
+            out.append(compose(parts, c.title, self.theme))
         return out
 
     def run_dashboard(self, dashboard: Dashboard, context: DashboardContext) -> dict:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..functions.baseline import Baseline
 from ..operators.base import Transform
 from ..timeaxis import Calendar, Timeframe
@@ -14,8 +17,20 @@ BASELINE, DIFFERENCE, PERCENT = OUTPUTS = ("baseline", "difference", "percent")
 GOOD, WATCH, BAD, NEUTRAL = ("good", "watch", "bad", "neutral")
 
 
+class StatusRule:
+    """What a value means.  Rules of one kind with equal settings must be equal, as frozen dataclasses are."""
+
+    def column(self, value: Column) -> Column:
+        """The status of a value that is not missing, as one of the four names."""
+        raise NotImplementedError
+
+    def marked(self) -> list[tuple[str, str, float | None, float | None]]:
+        """Ranges that a chart shows: label, status, from and to (None: without end)."""
+        return []
+
+
 @dataclass(frozen=True)
-class TargetBand:
+class TargetBand(StatusRule):
     """Good from low to high, Watch within the margin outside, else Bad; missing is Neutral."""
 
     low: float
@@ -29,6 +44,35 @@ class TargetBand:
             return GOOD
         return WATCH if self.low - self.margin <= value <= self.high + self.margin else BAD
 
+    def column(self, value):
+        near = F.when(value.between(self.low - self.margin, self.high + self.margin), WATCH).otherwise(BAD)
+        return F.when(value.between(self.low, self.high), GOOD).otherwise(near)
+
+    def marked(self):
+        return [("target", GOOD, self.low, self.high)]
+
+
+@dataclass(frozen=True)
+class Steps(StatusRule):
+    """Statuses by limits: below the first limit the first status, from each limit on the next one."""
+
+    limits: tuple[float, ...]
+    statuses: tuple[str, ...]
+
+    def __post_init__(self):
+        if list(self.limits) != sorted(set(self.limits)) or len(self.statuses) != len(self.limits) + 1 or not set(self.statuses) <= {GOOD, WATCH, BAD, NEUTRAL}:
+            raise ValueError("steps are ascending limits and one status more than limits")
+
+    def column(self, value):
+        out = F.lit(self.statuses[0])
+        for limit, status in zip(self.limits, self.statuses[1:]):
+            out = F.when(value >= limit, status).otherwise(out)
+        return out
+
+    def marked(self):
+        ends = (None, *self.limits, None)
+        return [(status, status, low, high) for status, low, high in zip(self.statuses, ends, ends[1:])]
+
 
 @dataclass(frozen=True)
 class View:
@@ -37,7 +81,7 @@ class View:
     series_by: str | None = None
     title: str | None = None
     unit: str | None = None
-    status: TargetBand | None = None
+    status: StatusRule | None = None
     stacked: bool = False
 
     def __post_init__(self):

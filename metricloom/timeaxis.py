@@ -7,6 +7,7 @@ never move a clock.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 from dataclasses import dataclass
 from zoneinfo import ZoneInfo
@@ -32,20 +33,50 @@ class TimeAxis:
     zone: str | None = None
 
 
+@dataclass(frozen=True)
+class Seasons:
+    """Seasons that begin at listed local times and last until the next one begins.
+
+    The last start only ends the season before it; times outside the list are in no season.  Without ``labels``,
+    one for each season, a season is labelled by the years of its start and end.
+    """
+
+    starts: tuple[dt.datetime, ...]
+    labels: tuple[str, ...] | None = None
+
+    def __post_init__(self):
+        if len(self.starts) < 2 or any(a >= b for a, b in zip(self.starts, self.starts[1:])):
+            raise ValueError("seasons are at least two local times in ascending order")
+        if self.labels is not None and len(self.labels) != len(self.starts) - 1:
+            raise ValueError("seasons have one label for each start but the last")
+
+    def place(self, local: dt.datetime) -> int:
+        """Which season holds a local time."""
+        if not self.starts[0] <= local < self.starts[-1]:
+            raise ValueError(f"{local} is in no season of the calendar")
+        return bisect.bisect_right(self.starts, local) - 1
+
+    def label(self, place: int) -> str:
+        if self.labels is not None:
+            return self.labels[place]
+        begin, end = self.starts[place].year, (self.starts[place + 1] - MICRO).year
+        return str(begin) if begin == end else f"{begin}/{end % 100:02d}"
+
+
 @dataclass(frozen=True)
 class Calendar:
-    """The report's zone, first weekday (0 = Monday) and the month and day on which seasons start."""
+    """The report's zone, first weekday (0 = Monday) and seasons: the month and day on which they start each year, or a list."""
 
     zone: str = "UTC"
     week_start: int = 0
-    season: tuple[int, int] = (7, 1)
+    season: tuple[int, int] | Seasons = (7, 1)
 
     def __post_init__(self):
         ZoneInfo(self.zone)
         if not 0 <= self.week_start <= 6:
             raise ValueError("week_start is a weekday, 0 (Monday) to 6 (Sunday)")
-        month, day = self.season
-        dt.date(2023, month, day)  # not a leap year: a season can't start on 29 February
+        if not isinstance(self.season, Seasons):
+            dt.date(2023, *self.season)  # not a leap year: a season can't start on 29 February
 
     def local(self, instant: dt.datetime) -> dt.datetime:
         """The wall clock in the calendar's zone at a UTC time."""

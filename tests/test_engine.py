@@ -12,7 +12,7 @@ from metricloom.frame import AT, VALUE
 from metricloom.functions.aggregators import LAST, MEAN, SUM
 from metricloom.functions.baseline import Baseline
 from metricloom.functions.chart_json import dumps, loads
-from metricloom.functions.charts import formatted
+from metricloom.functions.charts import Theme, formatted
 from metricloom.functions.periods import DAY, HOUR, MONTH, WEEK, Span
 from metricloom.operators.base import Map, Named, WhereIn, WhereValue
 from metricloom.operators.forecast import Forecast, Horizon, MeanModel
@@ -23,8 +23,8 @@ from metricloom.plans.cache import ChartCache, SliceCache, stable_hash
 from metricloom.plans.catalog import SEMI_ADDITIVE, Catalog, Linear, Metric, Ratio
 from metricloom.plans.dashboard import DefinitionError, parse
 from metricloom.plans.engine import Engine
-from metricloom.plans.spec import Chart, Comparison, DashboardContext, Report, Series, TargetBand, View
-from metricloom.sources.points import LONGEST_LIST, LongSource, MemorySource, WideSource, in_zone
+from metricloom.plans.spec import Chart, Comparison, DashboardContext, Report, Series, StatusRule, Steps, TargetBand, View
+from metricloom.sources.points import LONGEST_LIST, LongSource, MemorySource, WideSource, in_zone, jdbc
 from metricloom.streaming.tumbling import resample_stream
 from metricloom.timeaxis import LOCAL, Calendar, Timeframe, skipped, transitions
 
@@ -383,3 +383,88 @@ def test_function_sources(spark):
 
     engine = Engine(Catalog([Metric("heat", dimensions=("place",))]), FunctionSource(spark, fetch, ("place",)))
     assert found(engine.frame(Report("heat", entities=(1, 2), transforms=(Total(SUM, ("place",)),), dimensions=("place",)))) == [("", 4.0)]
+
+
+def test_status_rules_and_themes(rounds):
+    weekly = Report("parcels", entities=(1,), transforms=(Resample(WEEK, SUM),))
+    plain = Engine(CATALOG, rounds).run(weekly)["series"][0]
+    assert {m["color"] for m in plain["marks"]} == {plain["color"]} and {m["status"] for m in plain["marks"]} == {"neutral"}
+    values = [m["value"] for m in plain["marks"]]
+
+    class Odd(StatusRule):
+        def column(self, value):
+            return F.when(value % 2 == 1, "watch").otherwise("neutral")
+
+    theme = Theme(("ink", "rust"), watch="sun")
+    engine = Engine(CATALOG, rounds, theme=theme)
+    odd = engine.run(weekly.with_(view=View(status=Odd())))
+    assert [m["color"] for m in odd["series"][0]["marks"]] == ["sun" if v % 2 else "ink" for v in values] and odd["annotations"] == []
+    steps = Steps((45.0, 60.0), ("bad", "good", "watch"))
+    chart = engine.run(weekly.with_(view=View(status=steps)))
+    assert [m["status"] for m in chart["series"][0]["marks"]] == ["bad" if v < 45 else "good" if v < 60 else "watch" for v in values]
+    assert [(a["from"], a["to"]) for a in chart["annotations"]] == [(None, 45.0), (45.0, 60.0), (60.0, None)]
+    pair = engine.run_chart(Chart((Series(weekly), Series(weekly, "again"), Series(weekly, color="chalk"))))["series"]
+    assert [(s["color"], {m["color"] for m in s["marks"]}) for s in pair] == [(c, {c}) for c in ("ink", "rust", "chalk")]
+    for limits, statuses in (((2.0, 1.0), ("bad", "good", "bad")), ((1.0,), ("bad",)), ((1.0,), ("bad", "fine"))):
+        with pytest.raises(ValueError):
+            Steps(limits, statuses)
+
+
+def test_a_chart_has_a_bound(rounds):
+    report = Report("parcels", entities=(1,), transforms=(Resample(WEEK, SUM),))
+    assert len(Engine(CATALOG, rounds, most_marks=4).run(report)["series"][0]["marks"]) == 4
+    with pytest.raises(ValueError, match="at most 3 points"):
+        Engine(CATALOG, rounds, most_marks=3).run(report)
+
+
+def test_requests(rounds):
+    engine = Engine(CATALOG, rounds)
+    entity = rounds.entity
+    ask = {"metric": "parcels", "entities": [1, 4], "from": "2025-01-01", "to": "2025-02-01"}
+    rows = engine.frame(tools.request_to_report(ask | {"seriesBy": entity}, entity)).df.collect()
+    least = sorted(r[VALUE] for r in rows)[len(rows) // 2]
+    kept = engine.frame(tools.request_to_report(ask | {"min": least}, entity)).df.collect()
+    assert sorted(r[VALUE] for r in kept) == sorted(r[VALUE] for r in rows if r[VALUE] >= least) and len(kept) < len(rows)
+    areas = [r[0] for r in engine.frame(Report("parcels", dimensions=("area",))).df.select("area").distinct().orderBy("area").collect()]
+    grouped = engine.run(tools.request_to_report(ask | {"groupBy": "area", "aggregator": "sum"}, entity))
+    assert grouped["kind"] == "column" and [m["label"] for m in grouped["series"][0]["marks"]] == areas
+    one = engine.run(tools.request_to_report(ask | {"groupBy": "area", "aggregator": "sum", "where": {"area": areas[0]}}, entity))
+    assert [m["value"] for m in one["series"][0]["marks"]] == [grouped["series"][0]["marks"][0]["value"]]
+    whole = engine.run(tools.request_to_report(ask | {"groupBy": entity, "aggregator": "sum"}, entity))
+    assert sum(m["value"] for m in whole["series"][0]["marks"]) == sum(r[VALUE] for r in rows)
+    report = tools.request_to_report(ask | {"status": {"low": 10, "high": 20}, "seriesBy": entity}, entity)
+    assert report.view.status == TargetBand(10.0, 20.0, 5.0) and report.dimensions == () and engine.run(report)["annotations"]
+    recent = tools.request_to_report({"metric": "parcels", "entities": [1], "pastDays": 7}, entity, now=d("2025-01-20 12:00"))
+    assert recent.timeframe == Timeframe(d("2025-01-13"), d("2025-01-21"))
+
+
+def test_a_database_is_a_source(spark):
+    """Derby comes with Spark; other databases differ in their drivers and in the statement that opens a session."""
+    url, driver = "jdbc:derby:memory:depot;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = [(k % 3, d("2025-03-01") + dt.timedelta(hours=5 * k), "weight" if k % 2 else "count", float(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "entity long, at timestamp_ntz, metric string, value double")
+    df.write.mode("overwrite").option("createTableColumnTypes", "metric VARCHAR(20)").jdbc(url, "points", properties={"driver": driver})
+    catalog, frame = Catalog([Metric("weight"), Metric("count")]), Timeframe(d("2025-03-02"), d("2025-03-08"))
+    report = Report("weight", frame, (0, 2), (Resample(DAY, SUM),))
+    expected = found(Engine(catalog, LongSource(spark, df, "entity", "at")).frame(report), "entity", AT, VALUE)
+    for split in (None, ("entity", 0, 3, 3)):
+        stored = jdbc(spark, url, "points", split, driver=driver)
+        assert dict(stored.dtypes)[[c for c in stored.columns if c.lower() == "at"][0]] == "timestamp_ntz"
+        assert stored.rdd.getNumPartitions() == (3 if split else 1)
+        made = Engine(catalog, LongSource(spark, stored, "entity", "at")).frame(report)
+        assert found(made, "entity", AT, VALUE) == expected and expected
+        plan = made.df._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters") :].split("]")[0].lower()
+        assert all(c in pushed for c in ("entity", "metric", "at"))
+
+
+def test_sessions_of_databases_tell_utc(spark, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    seen = []
+    monkeypatch.setattr(DataFrameReader, "options", lambda self, **o: seen.append(o) or self)
+    monkeypatch.setattr(DataFrameReader, "load", lambda self: None)
+    for url in ("jdbc:postgresql://h/d", "jdbc:mysql://h/d", "jdbc:sqlserver://h"):
+        jdbc(spark, url, "t", ("id", 1, 9, 4), fetchsize="7")
+    assert [o.get("sessionInitStatement") for o in seen] == ["SET TIME ZONE 'UTC'", "SET time_zone = '+00:00'", None]
+    assert all((o["partitionColumn"], o["lowerBound"], o["upperBound"], o["numPartitions"], o["fetchsize"]) == ("id", "1", "9", "4", "7") for o in seen)

@@ -16,7 +16,7 @@ from metricloom.operators.forecast import SEASON_END, Forecast, HoltWintersModel
 from metricloom.operators.groups import GroupBy, PerGroup, Reduce, Total
 from metricloom.operators.resample import CARRY, INTERPOLATE, LEAVE, TIMEFRAME, ZERO, Resample
 from metricloom.operators.windows import Bottom, Cumulative, Rolling, ShareOf, Top
-from metricloom.timeaxis import LOCAL, Calendar, Context, TimeAxis, Timeframe
+from metricloom.timeaxis import LOCAL, Calendar, Context, Seasons, TimeAxis, Timeframe
 
 
 def d(text):
@@ -322,3 +322,35 @@ def test_baselines():
 def test_run_chains(spark):
     out = run(daily(spark, [1.0, 2, 3]), [WhereValue(2), Total(SUM)])
     assert values(out) == [5.0]
+
+
+LEAGUE = Calendar("Europe/London", season=Seasons((d("2023-08-11"), d("2024-08-16"), d("2025-08-15")), ("first", "second")))
+
+
+def test_listed_seasons(spark):
+    rows = [(1, d("2023-08-10 22:30"), 1.0), (1, d("2023-08-10 23:30"), 2.0), (1, d("2024-08-15 22:59"), 4.0), (1, d("2024-08-15 23:00"), 8.0), (1, d("2025-08-14 22:59"), 16.0), (1, d("2025-08-14 23:00"), 32.0)]
+    f = points(spark, rows, {"e": "bigint"}, "e", TimeAxis())
+    out = Resample(SEASON, SUM).apply(f, Context(LEAGUE))
+    assert values(out, AT, VALUE) == [(d("2023-08-11"), 6), (d("2024-08-16"), 24)]  # rows before and after the list are in no season
+    assert [r[0] for r in out.df.select(out.axis.grain.label(F.col(AT))).orderBy(AT).collect()] == ["first", "second"]
+    assert Seasons(LEAGUE.season.starts).label(0) == "2023/24" and Seasons((d("2024-01-01"), d("2024-05-01"))).label(0) == "2024"
+    for starts in ((d("2024-01-01"),), (d("2024-01-01"), d("2024-01-01"))):
+        with pytest.raises(ValueError):
+            Seasons(starts)
+    months = daily(spark, [float(i) for i in range(40)])
+    calendar = Calendar(season=Seasons((d("2024-12-20"), d("2025-02-14"), d("2025-05-01"))))
+    grown = Forecast(MeanModel(), SEASON_END).apply(Resample(DAY, SUM).apply(months), Context(calendar))
+    assert grown.df.agg(F.max(AT)).first()[0] == d("2025-02-13")
+    wide = Resample(SEASON, SUM, ZERO, TIMEFRAME).apply(months, Context(calendar, Timeframe(d("2025-01-01"), d("2025-03-01"))))
+    assert values(wide, AT, VALUE) == [(d("2024-12-20"), sum(range(40))), (d("2025-02-14"), 0)]
+
+
+def test_baselines_of_listed_seasons():
+    year = Timeframe(d("2024-08-20"), d("2025-06-01"))
+    shift = Baseline(1, "season").resolve(year, LEAGUE)
+    assert (shift.months, shift.days) == (0, 371) and shift.problem(SEASON) is None and shift.problem(WEEK) is None and shift.problem(MONTH)
+    assert shift.back(year, LEAGUE).start == d("2023-08-15")
+    with pytest.raises(ValueError):
+        Baseline(2, "season").resolve(year, LEAGUE)
+    even = Calendar(season=Seasons((d("2023-08-01"), d("2024-08-01"), d("2025-08-01"))))
+    assert Baseline(1, "season").resolve(year, even).months == 12
