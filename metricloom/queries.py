@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from .plans.catalog import SEMI_ADDITIVE, Catalog, Linear, Metric, Ratio, differ
 from .plans.dashboard import parse
 from .plans.engine import Engine
 from .plans.recipes import acute_to_chronic
-from .plans.spec import BASELINE, DIFFERENCE, PERCENT, Comparison, DashboardContext, Report, TargetBand, View
+from .plans.spec import BASELINE, DIFFERENCE, PERCENT, Comparison, DashboardContext, Report, Steps, TargetBand, View
 from .sources.points import LOCAL_TIME, METRIC, UTC, LongSource, WideSource, in_zone
-from .timeaxis import LOCAL, Calendar, Context, Timeframe
+from .timeaxis import LOCAL, Calendar, Context, Seasons, Timeframe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,6 +162,11 @@ add("resample_season", report(ORDERS, orders, "total", Resample(SEASON, SUM), di
 add("resample_season_mid_month", report(ORDERS, orders, "orders", Resample(SEASON, SUM), calendar=Calendar(season=(8, 15))), """
 SELECT o_custkey AS customer, make_timestamp(year(o_orderdate) - CASE WHEN strftime(o_orderdate, '%m%d') >= '0815' THEN 0 ELSE 1 END, 8, 15, 0, 0, 0) AS bucket,
   count(*)::DOUBLE AS value FROM orders GROUP BY 1, 2""")
+_LISTED = Calendar(season=Seasons((day("1995-03-10"), day("1996-02-29"), day("1997-03-14"), day("1997-11-01"), day("1999-02-05"))))
+_TERM = """CASE WHEN {0} < '1995-03-10' OR {0} >= '1999-02-05' THEN NULL WHEN {0} < '1996-02-29' THEN TIMESTAMP '1995-03-10'
+  WHEN {0} < '1997-03-14' THEN TIMESTAMP '1996-02-29' WHEN {0} < '1997-11-01' THEN TIMESTAMP '1997-03-14' ELSE TIMESTAMP '1997-11-01' END"""
+add("resample_season_listed", report(ORDERS, orders, "total", Resample(SEASON, SUM), calendar=_LISTED, digits=2),
+    f"SELECT o_custkey AS customer, {_TERM.format('o_orderdate')} AS bucket, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2 HAVING bucket IS NOT NULL")
 for _name, _start, _shift in (("sunday", 6, 1), ("saturday", 5, 2), ("wednesday", 2, 5)):
     add(f"resample_week_{_name}", report(EVENTS, events, "purchase", Resample(WEEK, MEAN), calendar=Calendar(week_start=_start)),
         _PURCHASES.format(f"(date_trunc('week', ts + INTERVAL {_shift} DAY) - INTERVAL {_shift} DAY)::TIMESTAMP"))
@@ -391,6 +397,11 @@ SELECT o_custkey % 10 AS customer, date_trunc('month', o_orderdate)::TIMESTAMP +
 FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' GROUP BY 1, 2""")
 add("change_diff_year_month", _compared("year", 1, DIFFERENCE, digits=2), f"SELECT customer, bucket, round(v - b, 2) AS value FROM {_pair('12 MONTH', _MONTH_SQL)}")
 add("change_pct_season", _compared("season", 1, PERCENT, SEASON), f"SELECT customer, bucket, round((v - b) / b * 100, 7) AS value FROM {_pair('12 MONTH', _SEASON.format('o_orderdate'))} WHERE b <> 0")
+add("change_diff_season_listed",
+    report(ORDERS, tenths, "total", Resample(DAY, SUM), calendar=_LISTED, timeframe=frame_of("1997-03-14", "1997-11-01"), comparison=Comparison(Baseline(1, "season"), DIFFERENCE), digits=2), """
+WITH t AS (SELECT o_custkey % 10 AS customer, date_trunc('day', o_orderdate)::TIMESTAMP AS bucket, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2)
+SELECT c.customer, c.bucket, round(c.v - p.v, 2) AS value FROM t c JOIN t p ON p.customer = c.customer AND p.bucket + INTERVAL 379 DAY = c.bucket
+WHERE c.bucket >= '1997-03-14' AND c.bucket < '1997-11-01'""")
 add("change_week_52", _compared("week", 52, PERCENT, WEEK), f"SELECT customer, bucket, round((v - b) / b * 100, 7) AS value FROM {_pair('364 DAY', _WEEK_SQL)} WHERE b <> 0")
 add("change_pct_month", _compared("month", 3, PERCENT), f"SELECT customer, bucket, round((v - b) / b * 100, 7) AS value FROM {_pair('3 MONTH', _MONTH_SQL)} WHERE b <> 0")
 
@@ -535,6 +546,15 @@ def status_band(spark, sf):
     return _marks(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_STEPS = Steps((30.0, 50.0, 70.0), ("bad", "watch", "good", "watch"))
+
+
+@query("status_steps", f"SELECT CASE WHEN v < 30 THEN 'bad' WHEN v < 50 THEN 'watch' WHEN v < 70 THEN 'good' ELSE 'watch' END AS status, count(*) AS n FROM {_WEEK_MEANS} GROUP BY 1")
+def status_steps(spark, sf):
+    frame = Engine(EVENTS, crowd(spark, sf)).frame(Report("any", transforms=(_WEEKLY,)))
+    return marks_frame(frame, replace(_VIEW, status=_STEPS)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stacked_extent", f"SELECT epoch_ms(bucket) AS at_millis, round(sum(v - 50) FILTER (v >= 50), 7) AS up, round(sum(v - 50) FILTER (v < 50), 7) AS down FROM {_WEEK_MEANS} GROUP BY 1")
 def extent(spark, sf):
     shifted = _marks(spark, sf).withColumn(VALUE, F.col(VALUE) - 50)
