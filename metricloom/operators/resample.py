@@ -50,13 +50,16 @@ class Resample(Transform):
         rows = frame.df.where(F.col(AT).isNotNull()).withColumn("_bucket", period.bucket(local, calendar)).where("_bucket is not null")
         made = rows.groupBy(*keys, "_bucket").agg(self.agg.column(F.col(VALUE), frame.order()).alias(VALUE))
         made = made.select(*keys, F.col("_bucket").alias(AT), F.nanvl(VALUE, F.lit(None).cast("double")).alias(VALUE))
-        axis = TimeAxis(LOCAL, period, zone)
+        return self.spread(frame.having(made, axis=TimeAxis(LOCAL, period, zone), unique=True), context)
+
+    def spread(self, buckets: PointFrame, context: Context) -> PointFrame:
+        """The gap policy over buckets of this period, one row for each key and bucket."""
         if self.gap == LEAVE:
-            return frame.having(made.where(F.col(VALUE).isNotNull()), axis=axis, unique=True)
-        filled = fill(densified(made, keys, period, self._window(frame, context, zone)), keys, self.gap)
-        return frame.having(filled, axis=axis, unique=True)
+            return buckets.having(buckets.df.where(F.col(VALUE).isNotNull()))
+        window = self._window(context, buckets.axis.zone)
+        return buckets.having(filled(buckets.df, list(buckets.keys), buckets.axis.grain, self.gap, window))
 
-    def _window(self, frame: PointFrame, context: Context, zone: str | None) -> tuple[Column, Column] | None:
+    def _window(self, context: Context, zone: str | None) -> tuple[Column, Column] | None:
         frame_of_time = context.timeframe
         if self.across != TIMEFRAME or frame_of_time is None or frame_of_time.start >= frame_of_time.end:
             return None
@@ -84,18 +87,22 @@ def densified(buckets: DataFrame, keys: list[str], period: Period, window: tuple
     return rows.select(*keys, F.col("_bucket").alias(AT), F.when(F.col("_bucket") == F.col(AT), F.col(VALUE)).alias(VALUE))
 
 
-def fill(dense: DataFrame, keys: list[str], gap: str) -> DataFrame:
+def filled(buckets: DataFrame, keys: list[str], period: Period, gap: str, window: tuple[Column, Column] | None = None) -> DataFrame:
+    """The buckets of a gap policy that have a value.
+
+    Each row with a value brings what lies up to the next one, so windows see the rows there are, not those that
+    are added, and take time in proportion.
+    """
     if gap == ZERO:
-        return dense.withColumn(VALUE, F.coalesce(VALUE, F.lit(0.0)))
+        return densified(buckets, keys, period, window).withColumn(VALUE, F.coalesce(VALUE, F.lit(0.0)))
     w = Window.partitionBy(*keys).orderBy(AT) if keys else Window.partitionBy(F.lit(0)).orderBy(AT)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if gap == CARRY:
-        return dense.withColumn(VALUE, F.last(VALUE, ignorenulls=True).over(upto)).where(F.col(VALUE).isNotNull())
-    beyond = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    numbered = dense.withColumn("_i", F.row_number().over(w))
-    known = F.when(F.col(VALUE).isNotNull(), F.struct("_i", VALUE))
-    rows = numbered.withColumn("_a", F.last(known, ignorenulls=True).over(upto)).withColumn("_b", F.first(known, ignorenulls=True).over(beyond))
-    rows = rows.where("_a is not null and _b is not null")
-    a, b = F.col(f"_a.{VALUE}"), F.col(f"_b.{VALUE}")
-    share = F.try_divide(F.col("_i") - F.col("_a._i"), F.col("_b._i") - F.col("_a._i"))
-    return rows.withColumn(VALUE, F.coalesce(F.col(VALUE), a + (b - a) * share)).drop("_i", "_a", "_b")
+    last = F.max(AT).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    known = buckets if gap == INTERPOLATE else buckets.withColumn("_end", last if window is None else F.greatest(last, window[1]))
+    known = known.where(F.col(VALUE).isNotNull()).withColumns({"_next": F.lead(AT).over(w), "_to": F.lead(VALUE).over(w)})
+    stop = F.coalesce("_next", AT if gap == INTERPOLATE else "_end")
+    spine = F.filter(period.series(F.col(AT), stop), lambda b: F.col("_next").isNull() | (b < F.col("_next")))
+    rows = known.withColumn("_spine", spine).select(*keys, VALUE, "_to", F.size("_spine").alias("_n"), F.posexplode("_spine").alias("_i", AT))
+    value = F.col(VALUE)
+    if gap == INTERPOLATE:
+        value = F.when(F.col("_i") > 0, value + (F.col("_to") - value) * F.try_divide(F.col("_i"), F.col("_n"))).otherwise(value)
+    return rows.select(*keys, AT, value.alias(VALUE))

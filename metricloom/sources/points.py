@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import AT, SEQUENCE, VALUE, PointFrame, points
-from ..operators.resample import LEAVE, Resample
+from ..operators.resample import Resample
 from ..timeaxis import INSTANT, LOCAL, NTZ, Context, TimeAxis, Timeframe, ambiguous, literal, pin_session, skipped, to_local, to_utc, to_utc_later, transitions
 
 #: The hidden dimension that tells the metrics of a batch apart.
@@ -191,10 +191,7 @@ class WideSource(_Table):
         made = df.where(F.col(AT).isNotNull()).groupBy(*keys, AT).agg(*[resample.agg.column(F.col(f"_v{i}"), order).alias(f"_v{i}") for i in range(len(metrics))])
         axis = TimeAxis(LOCAL, resample.period.on(calendar), calendar.zone if self.axis.kind == INSTANT else None)
         frame = PointFrame(self._long(made, metrics, keys), tuple(named), self.entity if self.entity in named else None, axis, hidden=(METRIC,), unique=True)
-        if resample.gap == LEAVE:
-            return frame.having(frame.df.where(F.col(VALUE).isNotNull()))
-        again = Resample(resample.period, type(resample.agg)("last"), resample.gap, resample.across) if type(resample.agg).__name__ == "Aggregator" else None
-        return again.apply(frame, context) if again else resample.apply(self.points(metrics, entities, timeframe, dims), context)
+        return resample.spread(frame, context)
 
     @staticmethod
     def _long(df: DataFrame, metrics: Sequence[str], keys: list[str]) -> DataFrame:
