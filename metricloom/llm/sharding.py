@@ -30,8 +30,8 @@ CELLS, WINDOWS = 100_000, 200
 class Starts:
     """Group starts on a line of ``total`` bytes, known in part.
 
-    ``look(lo, hi, width)`` gives (least start, greatest start, count) for each cell of ``width`` bytes in
-    [lo, hi) that holds a start.
+    ``look(windows, width)`` gives (least start, greatest start, count) for each cell that holds a start.  Cells
+    are ``width`` bytes long, counted from the start of each window lo <= start < hi, and end with it.
     """
 
     def __init__(self, total: int, look: Callable[[list[tuple[int, int]], int], list[tuple[int, int, int]]]):
@@ -68,9 +68,12 @@ class Starts:
                 merged[-1] = (merged[-1][0], hi)
             else:
                 merged.append((lo, hi))
+        merged = fewer(merged)
         width = max(1, sum(hi - lo for lo, hi in merged) // CELLS)
-        points = {p: e for p, e in zip(self.known, self.exact)}
-        points |= {self.known[i]: True for i in gaps}
+        # What is known inside a window is forgotten: a start in the middle of a cell says nothing about the gap after it.
+        lows = [lo for lo, _ in merged]
+        outside = lambda p: p < lows[0] or p >= merged[bisect.bisect_right(lows, p) - 1][1]
+        points = {p: e for p, e in zip(self.known, self.exact) if outside(p)} | {lo: True for lo in lows}
         for least, greatest, count in self.look(merged, width):
             points[least] = count <= 2
             points[greatest] = True
@@ -183,9 +186,11 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHE
     )
 
     def look(windows: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-        within = reduce(or_, [(F.col("at") >= lo) & (F.col("at") < hi) for lo, hi in fewer(windows)])
-        inside = line.where("opens").where(within)
-        return [tuple(r) for r in inside.groupBy(F.floor(F.col("at") / width).alias("cell")).agg(F.min("at"), F.max("at"), F.count(F.lit(1))).select("min(at)", "max(at)", "count(1)").collect()]
+        within = [(F.col("at") >= lo) & (F.col("at") < hi) for lo, hi in windows]
+        start = F.coalesce(*[F.when(w, F.lit(lo)) for w, (lo, _) in zip(within, windows)])
+        inside = line.where("opens").where(reduce(or_, within)).select("at", start.alias("start"))
+        cells = inside.groupBy("start", F.floor((F.col("at") - F.col("start")) / width).alias("cell")).agg(F.min("at"), F.max("at"), F.count(F.lit(1)))
+        return [tuple(r) for r in cells.select("min(at)", "max(at)", "count(1)").collect()]
 
     ends = cuts(Starts(left, look), shards - len(own))
     places = line.where("opens").where(F.col("at").isin(ends)).select("at", "row").collect() if ends else []
